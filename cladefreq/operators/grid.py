@@ -27,34 +27,37 @@ def _cells(counted: DataFrame, group: str, feature: str) -> DataFrame:
 def dense_grid(cells: DataFrame, group: str, feature: str) -> DataFrame:
     """Fill the cells up to seen groups x seen features, absent ones with zero.
 
-    The size of the result is given by the question. The seen features are one
-    short array (never longer than the lookup they come from), unfolded next to
-    each group, so no join builds the grid. Both lists read all measures of the
-    cells, which leaves their plan equal to the cells' own and lets Spark reuse
-    that shuffle instead of repeating the work behind it.
+    The size of the result is given by the question. Each group folds its cells
+    into one array and unfolds it again with a zero for every seen feature it
+    lacks, so no join builds the grid. The arrays are never longer than the
+    lookup the features come from. The list of seen features reads all measures,
+    which keeps its plan equal to the cells' own: Spark then reuses their shuffle
+    instead of repeating the work behind it.
     """
-
-    def seen(key: str) -> DataFrame:
-        totals = cells.groupBy(key).agg(
-            F.max("max_per_entity").alias("_m"),
-            F.sum("n_with").alias("_w"),
-            F.sum("n_total").alias("_t"),
-        )
-        return totals.where("_m > 0 AND _w > 0 AND _t > 0").select(key)
-
-    # Structs, because a bare null (a type without a feature) would be skipped.
-    features = seen(feature).agg(F.collect_list(F.struct(feature)).alias("f")).scalar()
-    grid = seen(group).select(F.col(group).alias("_g"), F.inline(features).alias("_f"))
-    filled = grid.join(
-        cells,
-        grid["_g"].eqNullSafe(cells[group]) & grid["_f"].eqNullSafe(cells[feature]),
-        "left",
-    )
-    return filled.select(
-        F.col("_g").alias(group),
-        F.col("_f").alias(feature),
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("max_per_entity", "n_with", "n_total")],
+    totals = cells.groupBy(feature).agg(
+        F.max("max_per_entity").alias("m"),
+        F.sum("n_with").alias("w"),
+        F.sum("n_total").alias("t"),
+    )
+    # A struct, because a bare null (a type without a feature) would be skipped.
+    seen = totals.where("m > 0 AND w > 0 AND t > 0").agg(F.collect_list(F.struct(feature)))
+    zero = F.lit(0).cast("long")
+    folded = cells.groupBy(group).agg(
+        F.collect_list(F.struct(feature, "max_per_entity", "n_with", "n_total")).alias("_cells")
+    )
+    lacking = folded.withColumn(
+        "_lacking", F.array_except(seen.scalar()[feature], F.col("_cells")[feature])
+    )
+    zeros = F.transform(
+        "_lacking",
+        lambda f: F.struct(
+            f.alias(feature),
+            zero.alias("max_per_entity"),
+            zero.alias("n_with"),
+            zero.alias("n_total"),
+        ),
     )
+    return lacking.select(group, F.inline(F.concat("_cells", zeros)))
 
 
 def _with_share(grid: DataFrame, entities: DataFrame, group: str) -> DataFrame:

@@ -9,7 +9,9 @@ copies of an id, repeated header lines, types missing from a lookup.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladefreq import presets
@@ -55,132 +57,125 @@ CLASSES = (
     ("purchase", "purchase", "Type A", "Class 1", 4),
 )
 
+# Columns in use. Declared, so that no job opens the files to infer them.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int",
+    "orders": "o_orderkey bigint, o_custkey bigint",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double",
+    "events": "event_id bigint, user_id bigint, event_type string, props string",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
 
+def literal_rows(spark: SparkSession, rows, columns: Sequence[str]) -> DataFrame:
+    """A short fixed table that never leaves the JVM."""
+    values = ", ".join("(" + ", ".join(repr(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")
 
-def _customer_id(key: Column) -> Column:
-    return F.concat(F.lit("C"), key.cast("string"))
+
+PART_TYPE = f"IF(p_partkey % 1000 = 17, '{RARE_TYPE}', p_name)"
 
 
 def raw_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("c_custkey")
+    split_mark = """CASE WHEN c_custkey % 50 = 7 THEN '_C' WHEN c_custkey % 4 = 0 THEN '_A'
+        WHEN c_custkey % 4 = 1 THEN '_B' WHEN c_custkey % 4 = 2 THEN '_F' ELSE '' END"""
+    family = """CASE WHEN c_custkey % 83 = 7 THEN '' WHEN c_custkey % 50 = 9 THEN concat(n_name, '_C')
+        WHEN c_custkey % 3 = 0 THEN concat(n_name, '_A') ELSE n_name END"""
+    full = f"""concat('d__', IF(c_mktsegment = 'MACHINERY', 'Archaea', 'Bacteria'), ';p__', r_name,
+        {split_mark}, ';c__x;o__x;f__', {family}, ';g__x;s__', c_name)"""
+    lineage = f"""CASE WHEN copy_no = 1 THEN 'd__Bacteria;p__COPY;c__x;o__x;f__COPY;g__x;s__x'
+        WHEN c_acctbal < 0 THEN '{presets.SENTINEL}'
+        WHEN c_custkey % 97 = 11 THEN NULL
+        WHEN c_custkey % 89 = 5 THEN concat('d__Bacteria;p__', r_name)
+        ELSE {full} END"""
     placed = (
         table(spark, sf_dir, "customer")
-        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    )
-    domain = F.when(F.col("c_mktsegment") == "MACHINERY", "Archaea").otherwise("Bacteria")
-    split_mark = (
-        F.when(key % 50 == 7, "_C")
-        .when(key % 4 == 0, "_A")
-        .when(key % 4 == 1, "_B")
-        .when(key % 4 == 2, "_F")
-        .otherwise("")
-    )
-    family = (
-        F.when(key % 83 == 7, F.lit(""))
-        .when(key % 50 == 9, F.concat("n_name", F.lit("_C")))
-        .when(key % 3 == 0, F.concat("n_name", F.lit("_A")))
-        .otherwise(F.col("n_name"))
+        .join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
     )
-    full = F.concat(
-        F.lit("d__"), domain, F.lit(";p__"), "r_name", split_mark, F.lit(";c__x;o__x;f__"),
-        family, F.lit(";g__x;s__"), "c_name",
+    copies = placed.selectExpr(
+        "*", "explode(IF(c_custkey % 10 = 3, array(0, 1), array(0))) AS copy_no"
     )
-    lineage = (
-        F.when(F.col("copy_no") == 1, F.lit("d__Bacteria;p__COPY;c__x;o__x;f__COPY;g__x;s__x"))
-        .when(F.col("c_acctbal") < 0, F.lit(presets.SENTINEL))
-        .when(key % 97 == 11, F.lit(None).cast("string"))
-        .when(key % 89 == 5, F.concat(F.lit("d__Bacteria;p__"), "r_name"))
-        .otherwise(full)
-    )
-    copies = F.when(key % 10 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    return placed.withColumn("copy_no", F.explode(copies)).select(
-        _customer_id(key).alias("entity_id"),
-        lineage.alias("lineage"),
-        F.col("c_name").alias("source_name"),
-        F.col("c_mktsegment").alias("segment"),
-        F.col("n_name").alias("home"),
-        F.col("r_name").alias("area"),
-        F.col("c_acctbal").alias("balance"),
+    return copies.selectExpr(
+        "concat('C', c_custkey) AS entity_id",
+        f"{lineage} AS lineage",
+        "c_name AS source_name",
+        "c_mktsegment AS segment",
+        "n_name AS home",
+        "r_name AS area",
+        "c_acctbal AS balance",
         "copy_no",
     )
 
 
-def _part_type() -> Column:
-    return F.when(F.col("p_partkey") % 1000 == 17, RARE_TYPE).otherwise(F.col("p_name"))
-
-
 def raw_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = (
         table(spark, sf_dir, "lineitem")
-        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
+        .join(table(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey"))
     )
-    protein = F.when(F.col("p_size") % 5 == 0, F.col("p_type")).otherwise(
-        F.concat_ws("_", "p_type", "p_brand")
-    )
-    return items.select(
-        _customer_id(F.col("o_custkey")).alias("entity_id"),
-        _part_type().alias("feature_type"),
-        F.col("l_linenumber").alias("locus_number"),
-        F.col("l_tax").alias("full_seq_e_value"),
-        F.col("l_discount").alias("domain_ie_value"),
-        (F.col("l_quantity") / 50).alias("target_coverage"),
-        (F.col("p_size") / 50).alias("hmm_coverage"),
-        protein.alias("protein_name"),
+    return items.selectExpr(
+        "concat('C', o_custkey) AS entity_id",
+        f"{PART_TYPE} AS feature_type",
+        "l_linenumber AS locus_number",
+        "l_tax AS full_seq_e_value",
+        "l_discount AS domain_ie_value",
+        "l_quantity / 50 AS target_coverage",
+        "p_size / 50 AS hmm_coverage",
+        "IF(p_size % 5 = 0, p_type, concat(p_type, '_', p_brand)) AS protein_name",
         *EVIDENCE_ORDER,
     )
 
 
 def raw_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as the ragged text table: id and contig in one cell, the last cell empty."""
-    events = table(spark, sf_dir, "events")
-    number = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    contig = F.concat(F.lit("ev"), F.col("event_id").cast("string"))
-    version = F.when(F.col("event_id") % 2 == 1, ".1").otherwise("")
-    text = {
-        "AccessionID": F.concat(_customer_id(F.col("user_id")), version, F.lit(" "), contig),
-        "Contig": F.concat(contig, F.lit("_1")),
-        "CRISPR": F.col("event_id").cast("string"),
-        "Start": (F.col("event_id") + number).cast("string"),
-        "Trusted": F.col("event_type"),
-        "Prediction": F.col("event_type"),
-        "Subtype": (number / 100).cast("string"),
-        "Subtype_probability": F.lit(None).cast("string"),
+    """Events as the ragged text table: id and contig in one cell, the last cell empty.
+
+    Every 2500th line has a header line next to it, as in concatenated files.
+    """
+    number = "CAST(regexp_extract(props, '([0-9]+)', 1) AS int)"
+    cells = {
+        "AccessionID": "concat('C', user_id, IF(event_id % 2 = 1, '.1', ''), ' ev', event_id)",
+        "Contig": "concat('ev', event_id, '_1')",
+        "CRISPR": "CAST(event_id AS string)",
+        "Start": f"CAST(event_id + {number} AS string)",
+        "Trusted": "event_type",
+        "Prediction": "event_type",
+        "Subtype": f"CAST({number} / 100 AS string)",
+        "Subtype_probability": "CAST(NULL AS string)",
     }
-    # A header line precedes every 2500th line, as in concatenated files.
-    repeats = F.when(
-        F.col("event_id") % 2500 == 0, F.array(F.lit(True), F.lit(False))
-    ).otherwise(F.array(F.lit(False)))
-    lines = events.withColumn("_header", F.explode(repeats))
-    return lines.select(
-        *[
-            F.when(F.col("_header"), F.lit(c)).otherwise(text.get(c, F.lit("0"))).alias(c)
-            for c in presets.ARRAY_COLUMNS
-        ]
+    lines = table(spark, sf_dir, "events").selectExpr(
+        "*", "explode(IF(event_id % 2500 = 0, array(true, false), array(false))) AS is_header"
+    )
+    return lines.selectExpr(
+        *[f"IF(is_header, '{c}', {cells.get(c, repr('0'))}) AS {c}" for c in presets.ARRAY_COLUMNS]
     )
 
 
 def feature_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    types = table(spark, sf_dir, "part").select(_part_type().alias("feature_type")).distinct()
-    feature = F.when(F.col("feature_type") == RARE_TYPE, RARE_TYPE).otherwise(
-        F.substring_index("feature_type", " ", -1)
-    )
-    events = spark.createDataFrame(
-        [(t, "signal_raw") for t in EVENT_TYPES], "feature_type string, feature string"
+    types = table(spark, sf_dir, "part").selectExpr(f"{PART_TYPE} AS feature_type").distinct()
+    events = literal_rows(
+        spark, [(t, "signal_raw") for t in EVENT_TYPES], ("feature_type", "feature")
     )
     return (
-        types.where(F.col("feature_type") != UNMATCHED_TYPE)
-        .select("feature_type", feature.alias("feature"))
+        types.where(f"feature_type <> '{UNMATCHED_TYPE}'")
+        .selectExpr(
+            "feature_type",
+            f"IF(feature_type = '{RARE_TYPE}', '{RARE_TYPE}',"
+            " substring_index(feature_type, ' ', -1)) AS feature",
+        )
         .unionByName(events)
     )
 
 
 def class_lookup(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(CLASSES),
-        "prediction string, merged_type string, type_group string, type_class string, row_no int",
+    return literal_rows(
+        spark, CLASSES, ("prediction", "merged_type", "type_group", "type_class", "row_no")
     )
