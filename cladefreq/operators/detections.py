@@ -47,13 +47,15 @@ def evidence_subset(
 ) -> DataFrame:
     """First full row of each locus among the rows meeting ``condition``, with the
     entity's lineage attached; rows of unknown entities stay, without a lineage."""
-    first = first_per_key(rows.where(condition), LOCUS_KEYS, order_by)
+    chosen = rows.where(condition)
+    first = first_per_key(chosen, LOCUS_KEYS, order_by)
     return hot_key_join(
         first,
         entities.select("entity_id", "lineage"),
         "entity_id",
         how="left",
         spread=["feature_type", "locus_number"],
+        counted=chosen,
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 COPIES = 32
 HOT_KEYS = 1000
+HOT_ROWS = 1_000_000
 MAX_LOOKUP_ROWS = 100_000
 
 
@@ -79,47 +80,44 @@ def hot_key_join(
     *,
     how: str,
     spread: Sequence[str],
+    counted: DataFrame | None = None,
     copies: int = COPIES,
     hot_keys: int = HOT_KEYS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join un-aggregated facts to a large dim that is unique on ``key``.
 
-    A key is hot when it holds more than 1/``hot_keys`` of all fact rows, so
-    there are fewer than ``hot_keys`` of them: that list is safe to broadcast
-    whatever the size of the data. Only hot dim rows are copied; facts of hot
-    keys are spread over the copies by their own content. Every row is kept.
+    Hot keys are the ``hot_keys`` most frequent ones among those with more than
+    ``hot_rows`` fact rows. That list is safe to broadcast whatever the size of
+    the data, and every key with more than 1/``hot_keys`` of the rows is on it.
+    Only hot dim rows are copied; facts of hot keys are spread over the copies
+    by their own content. The list decides where rows meet, never whether: every
+    row is kept.
+
+    ``counted`` may name a cheaper table with the same keys to count on.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type: {how}")
-    counts = facts.groupBy(F.col(key).alias("_hot_key")).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
     hot = F.broadcast(
-        counts.where(F.col("_n") * hot_keys > total)
-        .where(F.col("_hot_key").isNotNull())
+        (facts if counted is None else counted)
+        .groupBy(F.col(key).alias("_hot_key"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where((F.col("_n") > hot_rows) & F.col("_hot_key").isNotNull())
+        .orderBy(F.desc("_n"), "_hot_key")
+        .limit(hot_keys)
         .select("_hot_key")
     )
+    is_hot = F.col("_hot_key").isNotNull()
     # Missing keys match nothing but still travel in a left join: spread them too.
     left = (
         facts.join(hot, facts[key] == hot["_hot_key"], "left")
-        .withColumn(
-            "_salt",
-            F.when(
-                F.col("_hot_key").isNotNull() | F.col(key).isNull(), _salt(spread, copies)
-            ).otherwise(F.lit(0)),
-        )
+        .withColumn("_salt", F.when(is_hot | F.col(key).isNull(), _salt(spread, copies)).otherwise(0))
         .drop("_hot_key")
     )
+    every_salt = F.sequence(F.lit(0), F.lit(copies - 1))
     right = (
         dim.join(hot, dim[key] == hot["_hot_key"], "left")
-        .withColumn(
-            "_salt",
-            F.explode(
-                F.when(
-                    F.col("_hot_key").isNotNull(),
-                    F.sequence(F.lit(0), F.lit(copies - 1)),
-                ).otherwise(F.array(F.lit(0)))
-            ),
-        )
+        .withColumn("_salt", F.explode(F.when(is_hot, every_salt).otherwise(F.array(F.lit(0)))))
         .drop("_hot_key")
     )
     return left.join(right, [key, "_salt"], how).drop("_salt")

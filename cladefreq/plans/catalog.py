@@ -13,7 +13,7 @@ from cladefreq.operators import components, detections, entities, grid, lookups,
 from cladefreq.operators import overall as shares
 from cladefreq.operators import sets as overlaps
 from cladefreq.plans import star_views as views
-from cladefreq.sources.writers import publish, shared_folder
+from cladefreq.sources.writers import publish, shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,8 +101,9 @@ class Star:
 
     @cached_property
     def cut_presence(self) -> DataFrame:
+        """Stored, because pruning reads it twice: for the names and for the pivot."""
         sized = entities.with_group_sizes(self.entities, ["subgroup"])
-        return matrix.size_cut_presence(self.pairs, sized)
+        return written(matrix.size_cut_presence(self.pairs, sized))
 
 
 def entity_clean(star: Star) -> DataFrame:

@@ -12,7 +12,7 @@ from cladefreq.operators import components, detections, entities, grid, lookups,
 from cladefreq.operators import overall as shares
 from cladefreq.operators import sets as overlaps
 from cladefreq.sources.readers import ORDER_COLUMNS
-from cladefreq.sources.writers import publish
+from cladefreq.sources.writers import publish, written
 
 
 def type_report(
@@ -142,7 +142,7 @@ def supplementary_report(
     )
     names = matrix.seen_features(detections.feature_presence(pairs, cleaned))
     wide = matrix.presence_matrix(pairs, sized, names)
-    pruned, kept = matrix.pruned_matrix(matrix.size_cut_presence(pairs, sized))
+    pruned, kept = matrix.pruned_matrix(written(matrix.size_cut_presence(pairs, sized)))
     fit = components.fit_components(pruned, kept)
     return {
         "table_entities": entities.entity_export(raw_entities, entity_order, export_columns),

@@ -8,7 +8,7 @@ from cladefreq.sources.readers import (
     read_feature_lookup,
     read_text_table,
 )
-from cladefreq.sources.writers import publish, shared_folder, write_csv
+from cladefreq.sources.writers import publish, shared_folder, write_csv, written
 
 __all__ = [
     "publish",
@@ -20,4 +20,5 @@ __all__ = [
     "read_text_table",
     "shared_folder",
     "write_csv",
+    "written",
 ]

@@ -22,6 +22,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/cladefreq-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The table, stored in the shared folder: computed once and without its lineage."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Delimited text with a header line and no row numbers."""
     df.write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(path)
