@@ -1,0 +1,185 @@
+"""Published results, where they are at hand.
+
+``CLADEFREQ_GOLDEN`` names a JSON file that gives the path of each table by role:
+``arrays``, ``classes``, ``features``, ``typed``, ``type_grid``, ``type_cells``,
+``feature_grid``, ``overall``, and the number of ``entities``. Without it the
+tests are skipped; no such table is kept in this repository.
+"""
+
+from __future__ import annotations
+
+import csv
+import json
+import os
+from collections import Counter
+
+import pytest
+from conftest import rows
+
+from cladefreq import presets
+from cladefreq.operators import detections, entities, grid, lookups, overall
+from cladefreq.plans.reports import enriched_presence
+from cladefreq.sources import read_arrays, read_class_lookup, read_feature_lookup
+from cladefreq.sources.readers import ORDER_COLUMNS
+
+MANIFEST = os.environ.get("CLADEFREQ_GOLDEN")
+pytestmark = pytest.mark.skipif(not MANIFEST, reason="no golden tables given")
+
+
+@pytest.fixture(scope="module")
+def paths():
+    with open(MANIFEST) as f:
+        return json.load(f)
+
+
+def table(path):
+    """Rows of a published table as lists, without the header."""
+    with open(path, newline="") as f:
+        return list(csv.reader(f, delimiter=";"))[1:]
+
+
+@pytest.fixture(scope="module")
+def known(spark, paths):
+    """Entity table with the published ids and group sizes, filled up with other ids."""
+    ids, sizes = {}, {}
+    for group, size, entity, *_ in table(paths["typed"]):
+        ids[entity], sizes[group] = group, int(size)
+    have = Counter(ids.values())
+    filler = [(f"{g}-{i}", g) for g, s in sizes.items() for i in range(s - have[g])]
+    return spark.createDataFrame([*ids.items(), *filler], "entity_id string, group string")
+
+
+def test_array_counts(spark, paths):
+    raw = read_arrays(spark, paths["arrays"])
+    assert detections.repair_arrays(raw).count() == 357
+    assert detections.array_detections(raw).count() == 231
+    fixed = detections.repair_arrays(raw)
+    assert fixed.where("NOT AccessionID LIKE '%.%'").count() == 244
+
+
+def test_lookup_keys(spark, paths):
+    lookups.require_unique(read_class_lookup(spark, paths["classes"]), "prediction")
+    features = lookups.require_unique(read_feature_lookup(spark, paths["features"]), "feature_type")
+    assert features.count() == 165
+    names = {r[0] for r in features.select("feature").distinct().collect()}
+    assert len(names) == 52
+    # The listed set members are features; the left-out ones are not in any set.
+    members = {f for fs in presets.VENN_SETS.values() for f in fs}
+    known_names = {presets.FEATURE_RECODE.get(n, n) for n in names}
+    assert members <= known_names
+    assert known_names - members == {"SpbK", "Stk2", *presets.EXCLUDED_FEATURES}
+
+
+def test_typed_detections(spark, paths, known):
+    arrays = detections.array_detections(read_arrays(spark, paths["arrays"]))
+    typed = detections.typed_detections(
+        arrays,
+        entities.with_group_sizes(known, ["group"]),
+        read_class_lookup(spark, paths["classes"]),
+    )
+    expected = Counter(
+        (g, int(n), e, raw, merged, kind, cls)
+        for g, n, e, raw, merged, kind, cls in table(paths["typed"])
+    )
+    assert sum(expected.values()) == 229
+    assert Counter(tuple(r) for r in typed.collect()) == expected
+
+
+@pytest.fixture(scope="module")
+def type_grid(spark, paths, known):
+    arrays = detections.array_detections(read_arrays(spark, paths["arrays"]))
+    return grid.type_prevalence_by_group(
+        arrays, known, read_class_lookup(spark, paths["classes"]), ORDER_COLUMNS
+    ).cache()
+
+
+def test_type_grid(paths, type_grid):
+    found = {(r["merged_type"], r["group"]): r for r in type_grid.collect()}
+    expected = table(paths["type_grid"])
+    assert len(found) == len(expected) == 209
+    for kind, group, size, n_with, total, share, prediction, type_group, type_class in expected:
+        r = found[kind, group]
+        assert (r["group_size"], r["n_with"], r["n_total"]) == (int(size), int(n_with), int(total))
+        assert r["share"] == pytest.approx(float(share), abs=1e-8)
+        assert (r["prediction"], r["type_group"], r["type_class"]) == (
+            prediction,
+            type_group,
+            type_class,
+        )
+
+
+def test_type_totals(paths, type_grid):
+    cells = Counter(
+        (r["merged_type"], r["n_total"], r["type_class"])
+        for r in grid.type_totals(type_grid).collect()
+    )
+    expected = Counter((t, int(n), c) for t, n, c in table(paths["type_cells"]))
+    assert sum(expected.values()) == 39
+    assert cells == expected
+    assert sum(r["n_total"] for r in grid.type_totals(type_grid).collect()) == 229
+
+
+@pytest.fixture(scope="module")
+def rebuilt(spark, paths):
+    """Entities and enriched detections that have the published cells.
+
+    Within a group the first ``n_with`` entities have the feature, one of them
+    with the largest number of types.
+    """
+    back = {v: k for k, v in presets.FEATURE_RECODE.items()}
+    sizes, found = {}, []
+    for group, size, feature, largest, n_with, total, _ in table(paths["feature_grid"]):
+        sizes[group] = int(size)
+        largest, n_with, left = int(largest), int(n_with), int(total)
+        for i in range(n_with):
+            n = min(largest, left - (n_with - 1 - i))
+            left -= n
+            found += [
+                (f"{group}-{i}", group, f"{feature}/{k}", 1, back.get(feature, feature))
+                for k in range(n)
+            ]
+        assert left == 0
+    members = [(f"{g}-{i}", g) for g, n in sizes.items() for i in range(n)]
+    others = [(f"other-{i}", "other") for i in range(paths["entities"] - len(members))]
+    table_of = spark.createDataFrame([*members, *others], "entity_id string, group string")
+    enriched = spark.createDataFrame(
+        found,
+        "entity_id string, group string, feature_type string, frequency long, feature string",
+    )
+    return table_of, enriched
+
+
+def test_feature_grid(paths, rebuilt):
+    table_of, enriched = rebuilt
+    result = grid.feature_prevalence_by_group(
+        enriched, table_of, recoding=presets.FEATURE_RECODE
+    )
+    found = {(r["group"], r["feature"]): r for r in result.collect()}
+    expected = table(paths["feature_grid"])
+    assert len(found) == len(expected) == 768
+    for group, size, feature, largest, n_with, total, share in expected:
+        r = found[group, feature]
+        assert (r["group_size"], r["max_per_entity"], r["n_with"], r["n_total"]) == (
+            int(size),
+            int(largest),
+            int(n_with),
+            int(total),
+        )
+        assert r["share"] == pytest.approx(float(share), abs=1e-8)
+
+
+def test_overall(paths, rebuilt):
+    table_of, enriched = rebuilt
+    result = overall.overall_prevalence(
+        enriched_presence(enriched), table_of, presets.FEATURE_RECODE
+    )
+    found = dict(rows(result))
+    expected = table(paths["overall"])
+    assert len(found) == len(expected) == 48
+    for feature, percent in expected:
+        assert found[feature] == pytest.approx(float(percent), abs=1e-6)
+    label = {
+        r["slice"]: r["label"]
+        for r in overall.share_vs_rest(result, presets.SHARE_FEATURE).collect()
+    }
+    assert label == {"CRISPR-Cas": "17.7%", "Other": "82.3%"}
