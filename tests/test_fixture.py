@@ -60,8 +60,8 @@ def raw_evidence(spark):
 
 
 def array_line(cell, kind, probability):
-    middle = ["x"] * 10
-    return (cell, "array", *middle, "True", kind, probability, None)
+    middle = ["x"] * 9
+    return (cell, "array", *middle, "True", kind, kind, probability, None)
 
 
 @pytest.fixture(scope="module")
