@@ -12,6 +12,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.stat import Summarizer
@@ -41,11 +42,15 @@ def feature_covariance(matrix: DataFrame, features: Sequence[str]) -> DataFrame:
     with _vectors(matrix, names) as vectors:
         rows = MLUtils.convertVectorColumnsFromML(vectors, "features")
         values = RowMatrix(rows).computeCovariance().toArray()
-    cells = [
-        (a, b, float(values[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)
-    ]
+    size = len(names)
     return matrix.sparkSession.createDataFrame(
-        cells, "feature_a string, feature_b string, covariance double"
+        pa.table(
+            {
+                "feature_a": np.repeat(names, size).tolist(),
+                "feature_b": names * size,
+                "covariance": pa.array(values.ravel(), pa.float64()),
+            }
+        )
     )
 
 
@@ -88,21 +93,18 @@ def fit_components(matrix: DataFrame, features: Sequence[str]) -> Components:
 def variance_table(spark: SparkSession, fit: Components) -> DataFrame:
     """Scree table: deviation (n - 1), eigenvalue (n), share and cumulative share."""
     last = min(fit.n_rows, len(fit.features))
-    scale = (fit.n_rows - 1) / fit.n_rows
-    running = np.cumsum(fit.shares)
-    rows = [
-        (
-            i + 1,
-            float(np.sqrt(fit.eigenvalues[i])),
-            float(fit.eigenvalues[i] * scale),
-            float(fit.shares[i]),
-            float(running[i]),
-        )
-        for i in range(last)
-    ]
+    values = fit.eigenvalues[:last]
+    shares = fit.shares[:last]
     return spark.createDataFrame(
-        rows,
-        "component int, std_dev double, eigenvalue double, share double, cumulative_share double",
+        pa.table(
+            {
+                "component": pa.array(range(1, last + 1), pa.int32()),
+                "std_dev": np.sqrt(values),
+                "eigenvalue": values * (fit.n_rows - 1) / fit.n_rows,
+                "share": shares,
+                "cumulative_share": np.cumsum(shares),
+            }
+        )
     )
 
 
@@ -114,17 +116,21 @@ def variable_map(
 
     Coordinates use divisor n; cos2 does not depend on the divisor.
     """
-    axes = min(2, len(fit.features))
-    deviation = np.sqrt(fit.eigenvalues[:axes])
-    coords = fit.loadings[:, :axes] * deviation
-    scale = float(np.sqrt((fit.n_rows - 1) / fit.n_rows))
-    rows = []
-    for i, name in enumerate(fit.features):
-        point = [float(v) for v in coords[i]] + [0.0] * (2 - axes)
-        variance = float(fit.variances[i])
-        cos2 = sum(v * v for v in point) / variance if variance > 0 else None
-        kept = cos2 is not None and cos2 >= min_cos2
-        rows.append((name, point[0] * scale, point[1] * scale, cos2, kept))
+    size = len(fit.features)
+    axes = min(2, size)
+    coords = np.zeros((size, 2))
+    coords[:, :axes] = fit.loadings[:, :axes] * np.sqrt(fit.eigenvalues[:axes])
+    varies = fit.variances > 0
+    cos2 = (coords**2).sum(axis=1) / np.where(varies, fit.variances, 1.0)
+    scale = np.sqrt((fit.n_rows - 1) / fit.n_rows)
     return spark.createDataFrame(
-        rows, "feature string, coord1 double, coord2 double, cos2 double, kept boolean"
+        pa.table(
+            {
+                "feature": pa.array(fit.features, pa.string()),
+                "coord1": coords[:, 0] * scale,
+                "coord2": coords[:, 1] * scale,
+                "cos2": pa.array(cos2, pa.float64(), mask=~varies),
+                "kept": pa.array(varies & (cos2 >= min_cos2)),
+            }
+        )
     )

@@ -54,20 +54,26 @@ def replicated_join(
     return left.join(right, on, "left").drop("_salt", "_dim_key", "_dim_salt")
 
 
+def is_short(lookup: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> bool:
+    """Whether a lookup has at most ``max_rows`` rows; counts no further than that."""
+    return lookup.limit(max_rows + 1).count() <= max_rows
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
     key: str,
     *,
     spread: Sequence[str],
-    max_rows: int = MAX_LOOKUP_ROWS,
+    short: bool | None = None,
 ) -> DataFrame:
     """Left join to a lookup that is unique on ``key``, null matching null.
 
-    The lookup is counted, up to ``max_rows``, before it is broadcast; a longer
-    one is joined by shuffle with its hot keys spread.
+    The lookup is counted before it is broadcast, unless the caller did so; a
+    longer one is joined by shuffle with its keys spread by ``spread``, which
+    therefore has to tell the facts of one key apart.
     """
-    if lookup.limit(max_rows + 1).count() > max_rows:
+    if not (is_short(lookup) if short is None else short):
         return replicated_join(facts, lookup, key, spread=spread)
     small = F.broadcast(lookup.withColumnRenamed(key, "_dim_key"))
     return facts.join(small, facts[key].eqNullSafe(small["_dim_key"]), "left").drop("_dim_key")

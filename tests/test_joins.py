@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from cladefreq.operators.joins import hot_key_join, lookup_join, replicated_join
+from cladefreq.operators.joins import hot_key_join, is_short, lookup_join, replicated_join
 
 
 @pytest.fixture(scope="module")
@@ -64,7 +64,8 @@ def test_replicated_join_matches_null_with_null(spark, facts, dim):
 def test_lookup_join_broadcasts_only_short_lookups(facts, dim):
     plain = bag(facts.join(dim, "key", "left"))
     short = lookup_join(facts, dim, "key", spread=["row"])
-    long = lookup_join(facts, dim, "key", spread=["row"], max_rows=3)
+    assert is_short(dim, 31) and not is_short(dim, 30)
+    long = lookup_join(facts, dim, "key", spread=["row"], short=is_short(dim, 30))
     assert bag(short) == bag(long) == plain
 
     def hinted(df):
