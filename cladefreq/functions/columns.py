@@ -22,8 +22,8 @@ def clean_rank(
 
 
 def first_piece(text: Column, separator: str) -> Column:
-    """Text before the first ``separator`` (a regex); the whole text if there is none."""
-    return F.get(F.split(text, separator), 0)
+    """Text before the first ``separator``; the whole text if there is none."""
+    return F.substring_index(text, separator, 1)
 
 
 def not_matching(text: Column, pattern: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladefreq import presets
-from cladefreq.functions import first_piece, not_in, not_matching, recode
+from cladefreq.functions import first_piece, not_in, recode
 from cladefreq.operators.joins import first_per_key, hot_key_join, is_short, lookup_join
 
 LOCUS_KEYS = ("entity_id", "feature_type", "locus_number")
@@ -69,9 +69,9 @@ def repair_arrays(raw: DataFrame) -> DataFrame:
     names = list(raw.columns)
     first, rest = F.col(names[0]), names[1:-1]
     pieces = F.split(first, " ")
-    body = raw.where(not_matching(first, names[0]))
+    body = raw.where(~F.coalesce(first.contains(names[0]), F.lit(False)))
     return body.select(
-        F.get(pieces, 0).alias(names[0]),
+        first_piece(first, " ").alias(names[0]),
         F.get(pieces, 1).alias(names[1]),
         *[F.col(old).alias(new) for old, new in zip(rest, names[2:])],
     )
@@ -89,7 +89,7 @@ def array_detections(
     number = F.expr("try_cast(Subtype_probability AS double)")
     return (
         fixed.select(
-            first_piece(F.col("AccessionID"), r"\.").alias("entity_id"),
+            first_piece(F.col("AccessionID"), ".").alias("entity_id"),
             F.col("Contig").alias("contig"),
             F.col("CRISPR").alias("array_id"),
             F.col("Prediction").alias("prediction"),

@@ -20,7 +20,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 @dataclass
 class Star:
-    """The intermediate tables the queries are composed of; all lazy."""
+    """The intermediate tables the queries are composed of, each built once.
+
+    Tables that are read more than once are stored; the rest is lazy.
+    """
 
     spark: SparkSession
     sf_dir: str
@@ -31,7 +34,8 @@ class Star:
 
     @cached_property
     def entities(self) -> DataFrame:
-        return entities.clean_entities(self.raw_entities, views.ENTITY_ORDER)
+        """Stored: sizes, denominators and joins all read it."""
+        return written(entities.clean_entities(self.raw_entities, views.ENTITY_ORDER))
 
     @cached_property
     def sized(self) -> DataFrame:
