@@ -25,7 +25,7 @@ def type_report(
 ) -> dict[str, DataFrame]:
     """Array types by group: listing, grid, totals and display tables."""
     lookups.require_unique(class_lookup, "prediction")
-    cleaned = entities.clean_entities(raw_entities, entity_order)
+    cleaned = written(entities.clean_entities(raw_entities, entity_order))
     arrays = detections.array_detections(raw_arrays)
     by_group = grid.type_prevalence_by_group(arrays, cleaned, class_lookup, lookup_order)
     totals = grid.type_totals(by_group)
@@ -57,26 +57,21 @@ def feature_report(
 ) -> dict[str, DataFrame]:
     """Features by group, by subgroup and overall, with overlaps and display tables.
 
-    Five tables read the enriched detections, so these are written first and
-    read back: the work behind them runs once and its lineage ends there.
+    All other tables read the enriched detections, so these are published below
+    ``root`` first and read back: the work behind them runs once and its lineage
+    ends there.
     """
     spark = raw_entities.sparkSession
     lookups.require_unique(feature_lookup, "feature_type")
     cleaned = entities.clean_entities(raw_entities, entity_order)
     evidence = detections.evidence_detections(detections.evidence_rows(raw_evidence))
     counts = detections.count_types(evidence, detections.array_detections(raw_arrays))
-    first = publish(
-        {
-            "entities": entities.with_group_sizes(cleaned),
-        },
-        root,
-    )
-    sized = spark.read.parquet(first["entities"])
-    first |= publish(
+    sized = written(entities.with_group_sizes(written(cleaned)))
+    stored = publish(
         {"detections_enriched": detections.detections_enriched(counts, sized, feature_lookup)},
         root,
     )
-    enriched = spark.read.parquet(first["detections_enriched"])
+    enriched = spark.read.parquet(stored["detections_enriched"])
     options = {"exclude": exclude, "recoding": recoding}
     by_group = grid.feature_prevalence_by_group(enriched, sized, **options)
     by_subgroup = grid.feature_prevalence_by_group(enriched, sized, group="subgroup", **options)
@@ -124,8 +119,9 @@ def supplementary_report(
 ) -> dict[str, DataFrame]:
     """Entity and pattern-subset listings, presence matrices and components."""
     spark = raw_entities.sparkSession
-    cleaned = entities.clean_entities(raw_entities, entity_order)
-    sized = entities.with_group_sizes(cleaned)
+    lookups.require_unique(feature_lookup, "feature_type")
+    cleaned = written(entities.clean_entities(raw_entities, entity_order))
+    sized = written(entities.with_group_sizes(cleaned))
     rows = detections.evidence_rows(raw_evidence)
     argonaute = detections.named_or_matching(
         "protein_name", presets.ARGONAUTE_PATTERN, presets.ARGONAUTE_NAME
@@ -140,9 +136,10 @@ def supplementary_report(
         exclude=exclude,
         recoding=recoding,
     )
-    names = matrix.seen_features(detections.feature_presence(pairs, cleaned))
-    wide = matrix.presence_matrix(pairs, sized, names)
-    pruned, kept = matrix.pruned_matrix(written(matrix.size_cut_presence(pairs, sized)))
+    presence = written(detections.feature_presence(pairs, cleaned))
+    names = matrix.seen_features(presence)
+    wide = matrix.presence_matrix(presence, sized, names)
+    pruned, kept = matrix.pruned_matrix(written(matrix.size_cut_presence(presence, sized)))
     fit = components.fit_components(pruned, kept)
     return {
         "table_entities": entities.entity_export(raw_entities, entity_order, export_columns),
