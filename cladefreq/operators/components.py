@@ -36,9 +36,15 @@ def _vectors(matrix: DataFrame, features: Sequence[str]):
         vectors.unpersist()
 
 
+def _no_rows(spark: SparkSession, schema: str) -> DataFrame:
+    return spark.createDataFrame([], schema)
+
+
 def feature_covariance(matrix: DataFrame, features: Sequence[str]) -> DataFrame:
     """Sample covariance of every pair of feature columns, in long form."""
     names = list(features)
+    if not names:
+        return _no_rows(matrix.sparkSession, "feature_a string, feature_b string, covariance double")
     with _vectors(matrix, names) as vectors:
         rows = MLUtils.convertVectorColumnsFromML(vectors, "features")
         values = RowMatrix(rows).computeCovariance().toArray()
@@ -73,6 +79,8 @@ class Components:
 def fit_components(matrix: DataFrame, features: Sequence[str]) -> Components:
     """All components of the matrix; the largest loading of each is made positive."""
     names = list(features)
+    if not names:
+        return Components([], matrix.count(), np.empty(0), np.empty(0), np.empty((0, 0)))
     with _vectors(matrix, names) as vectors:
         stats = vectors.select(
             Summarizer.metrics("count", "variance").summary(F.col("features")).alias("s")
@@ -92,6 +100,12 @@ def fit_components(matrix: DataFrame, features: Sequence[str]) -> Components:
 
 def variance_table(spark: SparkSession, fit: Components) -> DataFrame:
     """Scree table: deviation (n - 1), eigenvalue (n), share and cumulative share."""
+    if not fit.features:
+        return _no_rows(
+            spark,
+            "component int, std_dev double, eigenvalue double, share double,"
+            " cumulative_share double",
+        )
     last = min(fit.n_rows, len(fit.features))
     values = fit.eigenvalues[:last]
     shares = fit.shares[:last]
@@ -116,6 +130,10 @@ def variable_map(
 
     Coordinates use divisor n; cos2 does not depend on the divisor.
     """
+    if not fit.features:
+        return _no_rows(
+            spark, "feature string, coord1 double, coord2 double, cos2 double, kept boolean"
+        )
     size = len(fit.features)
     axes = min(2, size)
     coords = np.zeros((size, 2))

@@ -76,3 +76,10 @@ def test_vectors_are_released(spark, matrix):
     components.fit_components(matrix, NAMES)
     components.feature_covariance(matrix, NAMES)
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_no_features(spark, matrix):
+    empty = components.fit_components(matrix, [])
+    assert components.variance_table(spark, empty).count() == 0
+    assert components.variable_map(spark, empty).count() == 0
+    assert components.feature_covariance(matrix, []).count() == 0
