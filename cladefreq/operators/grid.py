@@ -12,7 +12,7 @@ from cladefreq import presets
 from cladefreq.functions import not_in, recode
 from cladefreq.operators.detections import class_columns
 from cladefreq.operators.entities import group_sizes
-from cladefreq.operators.joins import first_per_key, lookup_join
+from cladefreq.operators.joins import first_per_key, is_short, lookup_join
 
 
 def _cells(counted: DataFrame, group: str, feature: str) -> DataFrame:
@@ -120,14 +120,15 @@ def type_prevalence_by_group(
     """
     per_type = arrays.groupBy("entity_id", "feature_type").agg(F.count(F.lit(1)).alias("m"))
     located = per_type.join(entities.select("entity_id", group), "entity_id", "inner")
+    short = is_short(lookup)
     merged = lookup_join(
-        located, class_columns(lookup), "feature_type", spread=["entity_id"]
+        located, class_columns(lookup), "feature_type", spread=["entity_id"], short=short
     )
     counted = merged.groupBy("entity_id", group, "merged_type").agg(F.sum("m").alias("n"))
     grid = dense_grid(_cells(counted, group, "merged_type"), group, "merged_type")
     classes = first_class_per_merged_type(lookup, lookup_order)
     return lookup_join(
-        _with_share(grid, entities, group), classes, "merged_type", spread=[group]
+        _with_share(grid, entities, group), classes, "merged_type", spread=[group], short=short
     ).select(
         "merged_type",
         group,

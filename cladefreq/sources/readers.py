@@ -103,9 +103,12 @@ def read_arrays(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 def read_class_lookup(spark: SparkSession, path: str) -> DataFrame:
     """Lookup type -> merged type, type group and class, with file order."""
     names = ("prediction", "merged_type", "type_group", "type_class")
-    return read_text_table(spark, path, columns=names, file_order=True)
+    raw = read_text_table(spark, path, columns=names, file_order=True)
+    return raw.select(*[_text(c).alias(c) for c in names], *ORDER_COLUMNS)
 
 
 def read_feature_lookup(spark: SparkSession, path: str) -> DataFrame:
     """Lookup type -> feature."""
-    return read_text_table(spark, path, columns=("feature_type", "feature"))
+    names = ("feature_type", "feature")
+    raw = read_text_table(spark, path, columns=names)
+    return raw.select(*[_text(c).alias(c) for c in names])
