@@ -32,10 +32,15 @@ class Star:
     def raw_entities(self) -> DataFrame:
         return views.raw_entities(self.spark, self.sf_dir)
 
+    @cached_property
+    def cleaned(self) -> DataFrame:
+        """For queries that read the entities once."""
+        return entities.clean_entities(self.raw_entities, views.ENTITY_ORDER)
+
     @cached_property
     def entities(self) -> DataFrame:
-        """Stored: sizes, denominators and joins all read it."""
-        return written(entities.clean_entities(self.raw_entities, views.ENTITY_ORDER))
+        """Stored, for queries in which sizes, denominators and joins all read it."""
+        return written(self.cleaned)
 
     @cached_property
     def sized(self) -> DataFrame:
@@ -81,7 +86,7 @@ class Star:
 
     @cached_property
     def presence(self) -> DataFrame:
-        return detections.feature_presence(self.pairs, self.entities)
+        return detections.feature_presence(self.pairs, self.cleaned)
 
     @cached_property
     def overall(self) -> DataFrame:
@@ -124,7 +129,7 @@ def evidence_detections(star: Star) -> DataFrame:
 
 def _subset(star: Star, condition) -> DataFrame:
     rows = detections.evidence_subset(
-        star.evidence, star.entities, condition, views.EVIDENCE_ORDER
+        star.evidence, star.cleaned, condition, views.EVIDENCE_ORDER
     )
     return rows.drop(*views.EVIDENCE_ORDER)
 
