@@ -33,11 +33,11 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_llm_shipped", False):
         return
-    here = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="llm-")) / "cladefreq_llm.zip"
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="llm-")) / "cladefreq.zip"
     with zipfile.ZipFile(archive, "w") as out:
-        for path in [here.parent / "__init__.py", *here.glob("*.py")]:
-            out.write(path, path.relative_to(here.parent.parent))
+        for path in package.rglob("*.py"):
+            out.write(path, path.relative_to(package.parent))
     context.addPyFile(str(archive))
     context._llm_shipped = True
 

@@ -13,7 +13,9 @@ from cladefreq.llm import (
     embedding_dedup,
     extraction,
     language_id,
+    near_dedup,
     packing,
+    suffix_dedup,
     token_files,
     topk_search,
     url_filters,
@@ -45,6 +47,15 @@ def packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), path, end_id=2, capacity=4096)
 
 
+def without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), 50)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), 0.8)
+
+
 def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(_table(spark, sf_dir, "pages"))
 
@@ -86,6 +97,8 @@ def llm_queries() -> dict[str, Query]:
     return {
         "op1_url_filters": url_verdicts,
         "op2_packing": packed_pieces,
+        "op3_suffix_dedup": without_repeats,
+        "op4_near_dedup": near_documents,
         "op5_html_extraction": main_texts,
         "op6_language_id": languages,
         "op7_token_files": token_digests,
