@@ -89,7 +89,7 @@ def signatures(of: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int,
         draw += 1
         first = mix(seed + np.uint64(2 * draw) * BASE)
         second = mix(first ^ seed)
-        time = time - np.log1p(-(first >> np.uint64(11)) * 2.0**-53) * step
+        time = time - np.log1p(-((first >> np.uint64(11)) * 2.0**-53)) * step
         near = time < latest[doc]
         doc, seed, share, step, time, second = (x[near] for x in (doc, seed, share, step, time, second))
         counts = (second >> np.uint64(32)) * 2.0**-32 < share
