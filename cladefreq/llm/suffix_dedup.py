@@ -279,8 +279,9 @@ def _joined(found: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with n_bytes, n_removed, n_spans and `kept`, the remaining bytes."""
-    plain = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "_low", "_digest", "_rid", "_least", "_spans")
+    """`docs` with n_bytes, n_removed, n_spans, `kept` (the remaining bytes) and `kept_text` (these as text without broken
+    characters; null where the text is)."""
+    plain = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "kept_text", "_low", "_digest", "_rid", "_least", "_spans")
     bytes_ = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = plain.withColumn("_low", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn("_digest", F.unhex(F.md5(bytes_)))
     long = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) >= length
@@ -304,7 +305,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
 def _cut(rows: DataFrame, plain: DataFrame, text_col: str) -> DataFrame:
     """Take the spans (_a, _b) out of each text; all of it where the text is a copy of a smaller document's."""
-    names = [*plain.columns, "n_bytes", "n_removed", "n_spans", "kept"]
+    names = [*plain.columns, "n_bytes", "n_removed", "n_spans", "kept", "kept_text"]
     at, own = plain.columns.index(text_col), len(plain.columns)
     ordered = rows.select(*(F.col(f"`{c}`") for c in plain.columns), F.coalesce(F.col("_low") > F.col("_least"), F.lit(False)).alias("_all"), "_a", "_b")
 
@@ -325,9 +326,12 @@ def _cut(rows: DataFrame, plain: DataFrame, text_col: str) -> DataFrame:
                     gone = np.cumsum(gone)[:-1] > 0
                     spans = int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1))
                     out.append((len(raw), int(gone.sum()), spans, np.frombuffer(raw, np.uint8)[~gone].tobytes()))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            text = batch.column(at).to_pylist()
+            out = [(*r, None if t is None else r[3].decode("utf-8", "ignore")) for r, t in zip(out, text, strict=True)]
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
             more = [pa.array([r[k] for r in out], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:own], *more], names)
 
-    fields = [T.StructField(n, T.LongType()) for n in names[-4:-1]]
-    return ordered.mapInArrow(cut, T.StructType([*plain.schema.fields, *fields, T.StructField("kept", T.BinaryType())]))
+    fields = [T.StructField(n, T.LongType()) for n in names[-5:-2]]
+    fields += [T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())]
+    return ordered.mapInArrow(cut, T.StructType([*plain.schema.fields, *fields]))

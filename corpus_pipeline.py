@@ -36,13 +36,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     a part was removed go whole; null texts stay null."""
     ship(spark)
     found = remove_repeats(docs, 50)
-    left = F.when(F.col("text").isNotNull(), F.when(F.col("n_removed") == 0, F.col("text")).otherwise(_whole_characters(F.col("kept"))))
-    return found.withColumn("text", left).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
-
-
-def _whole_characters(body: F.Column) -> F.Column:
-    """Bytes as text; broken characters, which decode to U+FFFD, are dropped."""
-    return F.replace(F.decode(body, F.lit("UTF-8")), F.lit("�"), F.lit(""))
+    length = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return found.withColumn("text", F.col("kept_text")).withColumn("n_chars", length).select(*COLUMNS)
 
 
 def packed_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
