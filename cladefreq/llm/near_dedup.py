@@ -2,7 +2,7 @@
 
 Equal texts are one group with one signature. Groups that share a band form a bucket. In every bucket the first group
 (the leader) is compared with all others by their exact overlap; a bucket whose groups are then all in one class is done.
-Of the others, four times as many leaders meet the members that are in other classes than theirs, and so on, until no
+Of the others, GROWTH times as many leaders meet the members that are in other classes than theirs, and so on, until no
 bucket has groups in two classes that were never compared. A large bucket of copies is thus done after as many comparisons
 as it has members, and no pair of unlike classes is left out. Comparisons are rows of a join; no task holds a bucket.
 
@@ -25,6 +25,8 @@ from cladefreq.llm.common import connected, stored
 from cladefreq.operators.joins import first_per_key, hot_key_join
 
 REGISTERS, ROWS = 125, 5
+#: Leaders of a bucket in one round over those in the round before; it decides the number of rounds, never which links are found.
+GROWTH = 16
 #: Texts hashed together have about so many characters; a longer one is alone.
 GROUP_CHARS = 1 << 21
 
@@ -123,13 +125,15 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
             found = stored(_verified(pairs, bodies, threshold), "near-links")
             links = found if links is None else links.union(found)
             checked = pairs if checked is None else checked.union(pairs)
-            component = connected(links, "near-roots")
-            roots = stored(component.select(F.col("id").alias("rep"), "root"), "near-roots")
+            # Without new links the classes are those of the round before.
+            if roots is None or not found.isEmpty():
+                component = connected(links, "near-roots")
+                roots = stored(component.select(F.col("id").alias("rep"), "root"), "near-roots")
         elif roots is None:
             roots = stored(members.select("rep", F.col("rep").alias("root")).where("false"), "near-roots")
         if done:
             break
-        leaders *= 4
+        leaders *= GROWTH
     named = groups.select("digest", "doc", "rep").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = named.groupBy("root").agg(F.min("doc").alias("class_id"), F.min_by("rep", F.struct(F.col("doc").isNull(), "doc", "rep")).alias("first"))
     classes = named.join(least, "root").select("digest", "class_id", (F.col("rep") == F.col("first")).alias("leads"))
