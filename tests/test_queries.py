@@ -10,11 +10,13 @@ import pytest
 from compare import open_tables, rows_of_spark, rows_of_sql
 
 import __spark_entry__ as contract
+from cladefreq.plans.catalog import all_queries
+from cladefreq.plans.oracle import all_oracles
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="test tables are absent")
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 WITHOUT_SQL = {"pca_variance", "pca_variable_map"}
 
 
@@ -51,6 +53,8 @@ def test_components(spark):
 
 
 def test_entry(spark):
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(ORACLES) <= set(contract.oracle_sql())
     assert contract.entry(spark).columns == ["feature", "pct"]
 
 
