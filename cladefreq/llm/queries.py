@@ -12,7 +12,10 @@ from cladefreq.llm import (
     bpe,
     embedding_dedup,
     extraction,
+    importance,
     language_id,
+    merkle,
+    multi_index,
     near_dedup,
     packing,
     suffix_dedup,
@@ -93,6 +96,23 @@ def near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def document_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 7 divides the id's crc32, the presented document has one character more than the manifest's."""
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    more = F.when(tampered, 1).otherwise(0).cast("decimal(20,0)") + F.col("n_chars")
+    digest = lambda n: merkle.digest(*(merkle.field(c) for c in (F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text"))))
+    return merkle.manifest(docs, digest(F.col("n_chars")), digest(more))
+
+
+def near_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def drawn_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_url_filters": url_verdicts,
@@ -105,11 +125,19 @@ def llm_queries() -> dict[str, Query]:
         "op8_topk_search": top_products,
         "op9_bpe": bpe_digests,
         "op10_embedding_dedup": near_embeddings,
+        "op11_merkle_manifest": document_proofs,
+        "op12_multi_index": near_neighbours,
+        "op13_importance_resampling": drawn_documents,
     }
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op1_url_filters": URL_SQL, "op8_topk_search": TOPK_SQL}
+    return {
+        "op1_url_filters": URL_SQL,
+        "op8_topk_search": TOPK_SQL,
+        "op11_merkle_manifest": MERKLE_SQL,
+        "op13_importance_resampling": IMPORTANCE_SQL,
+    }
 
 
 _RULES = "('org', '/', 'allow'), ('com', '/fr/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/de/', 'block')"
@@ -177,3 +205,96 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+#: CRC-32 of a text's bytes (a list of numbers), bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, {bytes}), lambda c, b:
+    list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+_BYTES = "list_transform(range(0, octet_length(encode({0}))), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::BIGINT)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR)) || ':' || {value}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+MERKLE_SQL = f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, lang, {_leaf("n_chars")} AS leaf,
+    CASE WHEN {_CRC.format(bytes=_BYTES.format("doc_id::VARCHAR"))} % 7 = 0
+      THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS claimed
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY lang) AS n
+  FROM hashed),
+tree AS (
+  SELECT lang, n AS width, 0 AS level, pos, leaf AS h FROM leaves
+  UNION ALL
+  SELECT lang, (width + 1) // 2, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM tree WHERE width > 1 GROUP BY lang, width, level, pos // 2),
+subroots AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM tree WHERE width = 1),
+top AS (
+  SELECT n AS width, 0 AS level, pos, subroot AS h FROM subroots
+  UNION ALL
+  SELECT (width + 1) // 2, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM top WHERE width > 1 GROUP BY width, level, pos // 2),
+climb AS (
+  SELECT doc_id, l.lang, l.pos, l.n AS width, 0 AS level, claimed AS h, '' AS path, leaf, l.pos AS place FROM leaves l
+  UNION ALL
+  SELECT c.doc_id, c.lang, c.pos, (c.width + 1) // 2, c.level + 1,
+    sha256(CASE WHEN place % 2 = 1 THEN coalesce(t.h, '') || c.h ELSE c.h || coalesce(t.h, '') END),
+    path || coalesce(t.h, ''), leaf, place // 2
+  FROM climb c LEFT JOIN tree t ON t.lang IS NOT DISTINCT FROM c.lang AND t.level = c.level AND t.pos = xor(c.place, 1)
+  WHERE c.width > 1),
+landed AS (
+  SELECT doc_id, leaf, subroot, h, path, s.pos AS place, s.n AS width
+  FROM climb c JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.lang WHERE c.width = 1),
+rise AS (
+  SELECT *, 0 AS level FROM landed
+  UNION ALL
+  SELECT doc_id, leaf, subroot,
+    sha256(CASE WHEN place % 2 = 1 THEN coalesce(t.h, '') || r.h ELSE r.h || coalesce(t.h, '') END),
+    path || coalesce(t.h, ''), place // 2, (r.width + 1) // 2, r.level + 1
+  FROM rise r LEFT JOIN top t ON t.level = r.level AND t.pos = xor(r.place, 1)
+  WHERE r.width > 1)
+SELECT doc_id, leaf, subroot, top.h AS root, sha256(path) AS proof_sha256, r.h AS folded_root, r.h = top.h AS verified
+FROM rise r, top WHERE r.width = 1 AND top.width = 1
+"""
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+IMPORTANCE_SQL = f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, 'corpus' AS side, doc_id, {_WORDS} AS w FROM documents
+  UNION ALL SELECT row_number() OVER (), 'target', NULL, {_WORDS} FROM benchmark),
+found AS (
+  SELECT row, side, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS feature
+  FROM texts),
+buckets AS (
+  SELECT feature, {_CRC.format(bytes=_BYTES.format("feature"))} % 10000 AS bucket FROM (SELECT DISTINCT feature FROM found)),
+counts AS (
+  SELECT bucket, count(*) FILTER (side = 'corpus') AS s, count(*) FILTER (side = 'target') AS t
+  FROM found JOIN buckets USING (feature) GROUP BY 1),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE)
+    / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM counts),
+weights AS (
+  SELECT row, count(*) AS n, floor(sum(gain) / count(*)::DOUBLE)::BIGINT AS weight
+  FROM found JOIN buckets USING (feature) JOIN gains USING (bucket) WHERE side = 'corpus' GROUP BY 1),
+scored AS (
+  SELECT doc_id, len(w) AS words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln(
+      (('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM texts t LEFT JOIN weights USING (row) WHERE t.side = 'corpus'),
+ranked AS (
+  SELECT *, CASE WHEN words >= 20 THEN row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) END AS place,
+    count(*) FILTER (words >= 20) OVER () AS n
+  FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM ranked
+"""
