@@ -1,154 +1,161 @@
-"""Covariance and principal components of a 0/1 matrix.
+"""Covariance and principal components of a 0/1 matrix in its sparse form.
 
-Executors reduce the rows to a features x features matrix; only that matrix,
-whose size depends on the number of features and not on the data, is handled on
-the driver.
+The covariance needs how often each pair of features occurs together: pairs are
+counted where the entities lie, so what is shuffled are counts. Everything here
+is lazy. The components are found from the covariance, whose size depends on the
+number of features and not on the data: one task holds features x features
+numbers, 8 MB for a thousand features.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from contextlib import contextmanager
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladefreq import presets
+from cladefreq.operators.grid import dense_grid
 
 
-@contextmanager
-def _vectors(matrix: DataFrame, features: Sequence[str]):
-    """The assembled vector column, kept for the passes made over it."""
-    assembled = VectorAssembler(inputCols=list(features), outputCol="features")
-    vectors = assembled.transform(matrix).select("features")
-    vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield vectors
-    finally:
-        vectors.unpersist()
-
-
-def _no_rows(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
-def feature_covariance(matrix: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Sample covariance of every pair of feature columns, in long form."""
-    names = list(features)
-    if not names:
-        return _no_rows(matrix.sparkSession, "feature_a string, feature_b string, covariance double")
-    with _vectors(matrix, names) as vectors:
-        rows = MLUtils.convertVectorColumnsFromML(vectors, "features")
-        values = RowMatrix(rows).computeCovariance().toArray()
-    size = len(names)
-    return matrix.sparkSession.createDataFrame(
-        pa.table(
-            {
-                "feature_a": np.repeat(names, size).tolist(),
-                "feature_b": names * size,
-                "covariance": pa.array(values.ravel(), pa.float64()),
-            }
-        )
-    )
-
+def pair_counts(sets: DataFrame) -> DataFrame:
+    """``feature_a, feature_b, n``: entities that have both, for a <= b in name order.
 
-@dataclass(frozen=True)
-class Components:
-    """Centred, unscaled components; eigenvalues with divisor n - 1."""
-
-    features: list[str]
-    n_rows: int
-    variances: np.ndarray
-    eigenvalues: np.ndarray
-    loadings: np.ndarray
-
-    @property
-    def shares(self) -> np.ndarray:
-        total = self.eigenvalues.sum()
-        return self.eigenvalues / total if total > 0 else np.zeros_like(self.eigenvalues)
-
-
-def fit_components(matrix: DataFrame, features: Sequence[str]) -> Components:
-    """All components of the matrix; the largest loading of each is made positive."""
-    names = list(features)
-    if not names:
-        return Components([], matrix.count(), np.empty(0), np.empty(0), np.empty((0, 0)))
-    with _vectors(matrix, names) as vectors:
-        stats = vectors.select(
-            Summarizer.metrics("count", "variance").summary(F.col("features")).alias("s")
-        ).first()["s"]
-        n_rows, variances = int(stats["count"]), stats["variance"].toArray()
-        model = PCA(k=len(names), inputCol="features", outputCol="scores").fit(vectors)
-    loadings = model.pc.toArray()
-    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])])
-    return Components(
-        features=names,
-        n_rows=n_rows,
-        variances=variances,
-        eigenvalues=np.clip(model.explainedVariance.toArray(), 0, None) * variances.sum(),
-        loadings=loadings * signs,
+    ``sets`` has one sorted array ``features`` per entity. Pairs of an entity come
+    out one after the other, and are counted before anything is shuffled.
+    """
+    first = sets.select("features", F.posexplode("features").alias("_i", "feature_a"))
+    rest = F.slice("features", F.col("_i") + 1, F.size("features"))
+    return (
+        first.select("feature_a", F.explode(rest).alias("feature_b"))
+        .groupBy("feature_a", "feature_b")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def variance_table(spark: SparkSession, fit: Components) -> DataFrame:
-    """Scree table: deviation (n - 1), eigenvalue (n), share and cumulative share."""
-    if not fit.features:
-        return _no_rows(
-            spark,
-            "component int, std_dev double, eigenvalue double, share double,"
-            " cumulative_share double",
-        )
-    last = min(fit.n_rows, len(fit.features))
-    values = fit.eigenvalues[:last]
-    shares = fit.shares[:last]
-    return spark.createDataFrame(
-        pa.table(
-            {
-                "component": pa.array(range(1, last + 1), pa.int32()),
-                "std_dev": np.sqrt(values),
-                "eigenvalue": values * (fit.n_rows - 1) / fit.n_rows,
-                "share": shares,
-                "cumulative_share": np.cumsum(shares),
-            }
+def feature_covariance(sets: DataFrame) -> DataFrame:
+    """Sample covariance of every pair of features, in long form, from whole-number counts.
+
+    An entity is one row of ``sets``; one with an empty array counts as a row of
+    zeros. The numerator n * n_ab - n_a * n_b is exact.
+    """
+    n = sets.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    upper = pair_counts(sets)
+    both = upper.select(
+        F.inline(
+            F.when(
+                F.col("feature_a") == F.col("feature_b"),
+                F.array(F.struct("feature_a", "feature_b", "n")),
+            ).otherwise(
+                F.array(
+                    F.struct("feature_a", "feature_b", "n"),
+                    F.struct(
+                        F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "n"
+                    ),
+                )
+            )
         )
     )
+    dense = dense_grid(both, "feature_a", "feature_b", ["n"])
+    single = upper.where("feature_a = feature_b")
+    of_a = single.select(F.col("feature_a").alias("_a"), F.col("n").alias("n_a"))
+    of_b = single.select(F.col("feature_b").alias("_b"), F.col("n").alias("n_b"))
+    known = dense.join(of_a, F.col("feature_a") == F.col("_a")).join(of_b, F.col("feature_b") == F.col("_b"))
+
+    def whole(value):
+        return value.cast("decimal(19,0)")
+
+    top = whole(n) * whole(F.col("n")) - whole(F.col("n_a")) * whole(F.col("n_b"))
+    below = n.cast("double") * (n - 1)
+    return known.select(
+        "feature_a",
+        "feature_b",
+        F.when(below > 0, top.cast("double") / below).alias("covariance"),
+        n.alias("n_rows"),
+    )
+
+
+#: Loadings this close to the largest one count as large; the first by name is then made positive.
+SIGN_TOLERANCE = 1e-9
+
+
+def decompose(names: list[str], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues, descending and not below zero, and loadings by column; the largest of each is positive."""
+    eigenvalues, loadings = np.linalg.eigh((values + values.T) / 2)
+    eigenvalues, loadings = np.clip(eigenvalues[::-1], 0, None), loadings[:, ::-1]
+    size = np.abs(loadings)
+    first = (size >= size.max(axis=0) - SIGN_TOLERANCE).argmax(axis=0)
+    return eigenvalues, loadings * np.sign(loadings[first, np.arange(len(names))])
 
 
-def variable_map(
-    spark: SparkSession, fit: Components, min_cos2: float = presets.MIN_COS2
-) -> DataFrame:
+def _in_one_task(covariance: DataFrame, schema: str, table) -> DataFrame:
+    """Rows that ``table`` (names, matrix, rows) makes of the whole covariance."""
+    columns = [field.split()[0] for field in schema.split(", ")]
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [batch for batch in batches if batch.num_rows]
+        if not parts:
+            return
+        own = pa.Table.from_batches(parts)
+        names = sorted(set(own["feature_a"].to_pylist()))
+        at = {name: i for i, name in enumerate(names)}
+        values = np.zeros((len(names), len(names)))
+        rows = [at[a] for a in own["feature_a"].to_pylist()]
+        values[rows, [at[b] for b in own["feature_b"].to_pylist()]] = np.nan_to_num(own["covariance"].to_numpy())
+        arrays = table(names, values, own["n_rows"][0].as_py())
+        yield pa.RecordBatch.from_arrays(arrays, columns)
+
+    wanted = covariance.select("feature_a", "feature_b", "covariance", "n_rows")
+    return wanted.repartition(1).mapInArrow(found, schema)
+
+
+def variance_table(covariance: DataFrame) -> DataFrame:
+    """Scree table: deviation (n - 1), eigenvalue (n), share and cumulative share of each component."""
+
+    def table(names, values, n_rows):
+        eigenvalues, _ = decompose(names, values)
+        total = eigenvalues.sum()
+        shares = eigenvalues / total if total > 0 else np.zeros_like(eigenvalues)
+        last = min(n_rows, len(names))
+        eigenvalues, shares = eigenvalues[:last], shares[:last]
+        return [
+            pa.array(range(1, last + 1), pa.int32()),
+            pa.array(np.sqrt(eigenvalues)),
+            pa.array(eigenvalues * (n_rows - 1) / n_rows),
+            pa.array(shares),
+            pa.array(np.cumsum(shares)),
+        ]
+
+    schema = "component int, std_dev double, eigenvalue double, share double, cumulative_share double"
+    return _in_one_task(covariance, schema, table)
+
+
+def variable_map(covariance: DataFrame, min_cos2: float = presets.MIN_COS2) -> DataFrame:
     """Coordinates of the features on the first two components and how well these
     represent them; ``kept`` marks a cos2 of at least ``min_cos2``.
 
-    Coordinates use divisor n; cos2 does not depend on the divisor.
+    Coordinates use divisor n; cos2 does not depend on the divisor. A feature
+    that does not vary has no cos2.
     """
-    if not fit.features:
-        return _no_rows(
-            spark, "feature string, coord1 double, coord2 double, cos2 double, kept boolean"
-        )
-    size = len(fit.features)
-    axes = min(2, size)
-    coords = np.zeros((size, 2))
-    coords[:, :axes] = fit.loadings[:, :axes] * np.sqrt(fit.eigenvalues[:axes])
-    varies = fit.variances > 0
-    cos2 = (coords**2).sum(axis=1) / np.where(varies, fit.variances, 1.0)
-    scale = np.sqrt((fit.n_rows - 1) / fit.n_rows)
-    return spark.createDataFrame(
-        pa.table(
-            {
-                "feature": pa.array(fit.features, pa.string()),
-                "coord1": coords[:, 0] * scale,
-                "coord2": coords[:, 1] * scale,
-                "cos2": pa.array(cos2, pa.float64(), mask=~varies),
-                "kept": pa.array(varies & (cos2 >= min_cos2)),
-            }
-        )
-    )
+
+    def table(names, values, n_rows):
+        eigenvalues, loadings = decompose(names, values)
+        axes = min(2, len(names))
+        coords = np.zeros((len(names), 2))
+        coords[:, :axes] = loadings[:, :axes] * np.sqrt(eigenvalues[:axes])
+        variances = np.diag(values)
+        varies = variances > 0
+        cos2 = (coords**2).sum(axis=1) / np.where(varies, variances, 1.0)
+        scale = np.sqrt((n_rows - 1) / n_rows)
+        return [
+            pa.array(names),
+            pa.array(coords[:, 0] * scale),
+            pa.array(coords[:, 1] * scale),
+            pa.array(cos2, mask=~varies),
+            pa.array(varies & (cos2 >= min_cos2)),
+        ]
+
+    schema = "feature string, coord1 double, coord2 double, cos2 double, kept boolean"
+    return _in_one_task(covariance, schema, table)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cladefreq import presets
 from cladefreq.functions import first_piece, not_in, recode
-from cladefreq.operators.joins import first_per_key, hot_key_join, is_short, lookup_join
+from cladefreq.operators.joins import first_per_key, hot_key_join, lookup_join
 
 LOCUS_KEYS = ("entity_id", "feature_type", "locus_number")
 
@@ -175,22 +175,13 @@ def feature_pairs(
 ) -> DataFrame:
     """(entity, feature) rows of all sources, repeats allowed.
 
-    Types without a feature and excluded features are dropped. Next to a short
-    lookup the repeats cost nothing; before a shuffled one they are removed, so
-    that no (entity, type) pair can be a hot spot.
+    Types without a feature and excluded features are dropped.
     """
     pairs = reduce(
         DataFrame.unionByName, [s.select("entity_id", "feature_type") for s in sources]
     )
     names = lookup.select("feature_type", "feature")
-    short = is_short(names)
-    named = lookup_join(
-        pairs if short else pairs.distinct(),
-        names,
-        "feature_type",
-        spread=["entity_id"],
-        short=short,
-    )
+    named = lookup_join(pairs, names, "feature_type", spread=["entity_id"])
     return named.where(F.col("feature").isNotNull() & not_in(F.col("feature"), exclude)).select(
         "entity_id", recode(F.col("feature"), recoding).alias("feature")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cladefreq import presets
 from cladefreq.functions import clean_rank, lineage_rank, not_matching
-from cladefreq.operators.joins import first_per_key, lookup_join
+from cladefreq.operators.joins import first_per_key, salted_join
 
 
 def kept_entities(
@@ -71,13 +71,15 @@ def with_group_sizes(
     """Attach ``<key>_size`` of each grouping to every entity.
 
     An aggregate joined back, not a window: a window would bring the largest
-    group into one task. With few groups the entities are not shuffled at all.
-    The entities are read several times, so they had better be a stored table.
+    group into one task. The sizes themselves say which groups are spread over
+    how many places. All reads of the entities share their shuffle, and nothing
+    runs before the result is asked for.
     """
     sized = entities
     for name in keys:
         sizes = group_sizes(entities, name, f"{name}_size")
-        sized = lookup_join(sized, sizes, name, spread=[key])
+        counts = sizes.withColumnRenamed(f"{name}_size", "n")
+        sized = salted_join(sized, sizes, name, counts, how="left", spread=[key], null_matches=True)
     return sized
 
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladefreq import presets
@@ -13,6 +13,12 @@ from cladefreq.functions import not_in, recode
 from cladefreq.operators.detections import class_columns
 from cladefreq.operators.entities import group_sizes
 from cladefreq.operators.joins import first_per_key, is_short, lookup_join
+from cladefreq.operators.ranks import numbered
+from cladefreq.sources.writers import written
+
+MEASURES = ("max_per_entity", "n_with", "n_total")
+FEATURES_PER_BUCKET = 512
+GROUPS_PER_PLACE = 1024
 
 
 def _cells(counted: DataFrame, group: str, feature: str) -> DataFrame:
@@ -24,40 +30,60 @@ def _cells(counted: DataFrame, group: str, feature: str) -> DataFrame:
     )
 
 
-def dense_grid(cells: DataFrame, group: str, feature: str) -> DataFrame:
+def dense_grid(
+    cells: DataFrame,
+    group: str,
+    feature: str,
+    measures: Sequence[str] = MEASURES,
+    *,
+    per_bucket: int = FEATURES_PER_BUCKET,
+    per_place: int = GROUPS_PER_PLACE,
+) -> DataFrame:
     """Fill the cells up to seen groups x seen features, absent ones with zero.
 
-    The size of the result is given by the question. Each group folds its cells
-    into one array and unfolds it again with a zero for every seen feature it
-    lacks, so no join builds the grid. The arrays are never longer than the
-    lookup the features come from. The list of seen features reads all measures,
-    which keeps its plan equal to the cells' own: Spark then reuses their shuffle
-    instead of repeating the work behind it.
+    The size of the result is given by the question; no row, task or broadcast
+    before it holds all features or all groups. Features are hashed into buckets
+    of about ``per_bucket``. Each group has one row per bucket, which folds its
+    cells of that bucket into an array and unfolds it again with a zero for
+    every feature of the bucket it lacks. The feature list of a bucket is copied
+    once per ``per_place`` groups, and each group meets one copy.
+
+    The lists and counts read all measures, which keeps their plans equal to the
+    cells' own: Spark then reuses their shuffle instead of repeating the work
+    behind it.
     """
-    totals = cells.groupBy(feature).agg(
-        F.max("max_per_entity").alias("m"),
-        F.sum("n_with").alias("w"),
-        F.sum("n_total").alias("t"),
-    )
-    # A struct, because a bare null (a type without a feature) would be skipped.
-    seen = totals.where("m > 0 AND w > 0 AND t > 0").agg(F.collect_list(F.struct(feature)))
-    zero = F.lit(0).cast("long")
-    folded = cells.groupBy(group).agg(
-        F.collect_list(F.struct(feature, "max_per_entity", "n_with", "n_total")).alias("_cells")
-    )
-    lacking = folded.withColumn(
-        "_lacking", F.array_except(seen.scalar()[feature], F.col("_cells")[feature])
+    held = reduce(Column.__and__, [F.col(f"_{m}") >= 0 for m in measures])
+
+    def seen(key: str) -> DataFrame:
+        return cells.groupBy(key).agg(*[F.sum(m).alias(f"_{m}") for m in measures]).where(held)
+
+    def count(key: str, per: int) -> Column:
+        n = seen(key).agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+        return F.greatest(F.lit(1), F.ceil(n / per)).cast("int")
+
+    buckets, places = count(feature, per_bucket), count(group, per_place)
+    # Structs, because a bare null (a type without a feature) would be skipped.
+    bucket = F.pmod(F.xxhash64(F.struct(feature)), buckets).cast("int")
+    place = F.pmod(F.xxhash64(F.struct(group)), places).cast("int")
+    lists = seen(feature).withColumn("_bucket", bucket).groupBy("_bucket").agg(
+        F.collect_list(F.struct(feature)).alias("_features")
+    )
+    lists = lists.select("_bucket", "_features", F.explode(F.sequence(F.lit(0), places - 1)).alias("_place"))
+    own = F.struct(feature, *measures)
+    filled = cells.select(group, bucket.alias("_bucket"), own.alias("_cell"))
+    empty = seen(group).select(
+        group,
+        F.explode(F.sequence(F.lit(0), buckets - 1)).alias("_bucket"),
+        F.lit(None).cast(filled.schema["_cell"].dataType).alias("_cell"),
     )
+    folded = filled.unionByName(empty).groupBy(group, "_bucket").agg(F.collect_list("_cell").alias("_cells"))
+    met = folded.withColumn("_place", place).join(lists, ["_bucket", "_place"])
+    lacking = F.array_except(F.col("_features")[feature], F.col("_cells")[feature])
     zeros = F.transform(
-        "_lacking",
-        lambda f: F.struct(
-            f.alias(feature),
-            zero.alias("max_per_entity"),
-            zero.alias("n_with"),
-            zero.alias("n_total"),
-        ),
+        lacking,
+        lambda f: F.struct(f.alias(feature), *[F.lit(0).cast("long").alias(m) for m in measures]),
     )
-    return lacking.select(group, F.inline(F.concat("_cells", zeros)))
+    return met.select(group, F.inline(F.concat("_cells", zeros)))
 
 
 def _with_share(grid: DataFrame, entities: DataFrame, group: str) -> DataFrame:
@@ -157,39 +183,37 @@ def heatmap_display(
     *,
     group: str = "group",
     feature: str = "feature",
+    facets: Sequence[str] = (),
     min_group_size: int | None = presets.MIN_GROUP_SIZE,
-    rotate_above: int = presets.ROTATE_ABOVE,
+    rotate_above: int | None = presets.ROTATE_ABOVE,
 ) -> DataFrame:
     """Plot-ready grid: size cut, axis label, rank of the group by size, text angle.
 
-    Groups rank by size, then name. The rank is the number of groups in smaller
-    sizes plus the position within the size: only the distinct sizes, of which N
-    entities allow at most sqrt(2N), pass through one task.
+    Groups rank by size, then name, by ranges of both, so neither many groups nor
+    many of one size are one task's work. ``facets`` are columns of the grid that
+    the panels are cut by; without ``rotate_above`` no text is turned and there is
+    no angle column.
     """
     size = f"{group}_size"
-    shown = grid if min_group_size is None else grid.where(F.col(size) > min_group_size)
-    groups = shown.select(group, size).distinct()
-    per_size = groups.groupBy(size).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.orderBy(size).rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_size.select(
-        F.col(size).alias("_size"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-    )
-    within = W.partitionBy(size).orderBy(F.col(group).asc_nulls_first())
-    ranked = groups.join(offsets, groups[size] == offsets["_size"]).select(
-        F.col(group).alias("_g"),
-        (F.col("_before") + F.row_number().over(within)).cast("long").alias("display_rank"),
+    shown = written(grid if min_group_size is None else grid.where(F.col(size) > min_group_size))
+    groups = shown.select(F.col(group).alias("_g"), F.col(size).alias("_size")).distinct()
+    ranked = numbered(groups, [F.col("_size"), F.col("_g").asc_nulls_first()]).select(
+        "_g", (F.col("pos") + 1).cast("long").alias("display_rank")
     )
     label = F.concat(
         F.coalesce(F.col(group), F.lit("NA")), F.lit("\n"), F.col(size).cast("string")
     )
-    return shown.join(ranked, shown[group].eqNullSafe(ranked["_g"])).select(
+    angle = []
+    if rotate_above is not None:
+        angle = [F.when(F.col("n_with") > rotate_above, 90).otherwise(0).alias("text_angle")]
+    return shown.join(ranked, F.col(group).eqNullSafe(F.col("_g"))).select(
         group,
         size,
         feature,
+        *facets,
         "n_with",
         "share",
         label.alias("axis_label"),
         "display_rank",
-        F.when(F.col("n_with") > rotate_above, 90).otherwise(0).alias("text_angle"),
+        *angle,
     )

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-COPIES = 32
-HOT_KEYS = 1000
-HOT_ROWS = 1_000_000
+#: Rows of one key that a task may hold; a key with more is spread over as many places as it takes.
+TASK_ROWS = 1_000_000
+#: A key is spread only if it holds more than this part of all rows, so no more than these keys can be.
+PARTS = 10_000
 MAX_LOOKUP_ROWS = 100_000
 
 
@@ -26,32 +27,90 @@ def first_per_key(
     return df.withColumn("_rn", F.row_number().over(window)).where("_rn = 1").drop("_rn")
 
 
-def _salt(spread: Sequence[str], copies: int) -> Column:
-    # Built from row content, not rand(): a re-run task must salt the same way.
-    return F.pmod(F.xxhash64(*spread), F.lit(copies)).cast("int")
+def _same(left: Column, right: Column, null_matches: bool) -> Column:
+    return left.eqNullSafe(right) if null_matches else left == right
 
 
-def replicated_join(
+def salted_join(
     facts: DataFrame,
     dim: DataFrame,
     key: str,
+    counts: DataFrame,
     *,
+    how: str,
     spread: Sequence[str],
-    copies: int = COPIES,
+    null_matches: bool = False,
+    task_rows: int = TASK_ROWS,
+    parts: int = PARTS,
 ) -> DataFrame:
-    """Left join to a short table that is unique on ``key``, null matching null.
+    """Join facts to a dim that is unique on ``key``; ``counts`` (key, n) says how many facts each key has.
+
+    A key with more than ``limit`` facts lies in ceil(n / limit) places: its dim
+    row is copied that often and each of its facts meets one copy, chosen by the
+    columns ``spread``, which therefore have to tell the facts of a key apart.
+    The limit is ``task_rows``, or 1/``parts`` of all facts if that is more. Fewer
+    than ``parts`` keys can be beyond it, whatever the data are, so their list may
+    be broadcast; and no place holds more than about ``limit`` facts.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"unsupported join type: {how}")
+    total = counts.agg(F.sum("n").alias("n")).select("n").scalar()
+    limit = F.greatest(F.lit(task_rows).cast("double"), total / parts)
+    hot = F.broadcast(
+        counts.select(F.col(key).alias("_hot_key"), F.ceil(F.col("n") / limit).cast("int").alias("_places"))
+        .where("_places > 1")
+    )
+    places = F.coalesce("_places", F.lit(1))
+    # From row content, not rand(): a re-run task must place its rows alike.
+    salt = F.pmod(F.xxhash64(*spread), places).cast("int")
+    if not null_matches:
+        # Missing keys match nothing but still travel in a left join.
+        salt = F.when(F.col(key).isNull(), F.hash(*spread)).otherwise(salt)
+    is_hot = _same(F.col(key), F.col("_hot_key"), null_matches)
+    left = (
+        facts.join(hot, is_hot, "left")
+        .withColumn("_salt", salt)
+        .drop("_hot_key", "_places")
+    )
+    right = (
+        dim.join(hot, is_hot, "left")
+        .withColumn("_dim_salt", F.explode(F.sequence(F.lit(0), places - 1)))
+        .drop("_hot_key", "_places")
+        .withColumnRenamed(key, "_dim_key")
+    )
+    on = _same(F.col(key), F.col("_dim_key"), null_matches) & (F.col("_salt") == F.col("_dim_salt"))
+    return left.join(right, on, how).drop("_salt", "_dim_salt", "_dim_key")
+
 
-    Each dim row exists ``copies`` times and each fact row meets one of them, so
-    a group holding a third of the facts is met in ``copies`` places. Nothing is
-    hinted: Spark broadcasts the dim side while its measured size is below the
-    broadcast threshold and shuffles on (key, salt) beyond it.
+def hot_key_join(
+    facts: DataFrame,
+    dim: DataFrame,
+    key: str,
+    *,
+    how: str,
+    spread: Sequence[str],
+    counted: DataFrame | None = None,
+    null_matches: bool = False,
+    task_rows: int = TASK_ROWS,
+    parts: int = PARTS,
+) -> DataFrame:
+    """``salted_join`` that counts the facts of each key first.
+
+    ``counted`` may name a cheaper table with the same keys to count on.
     """
-    right = dim.withColumnRenamed(key, "_dim_key").withColumn(
-        "_dim_salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
+    rows = facts if counted is None else counted
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return salted_join(
+        facts,
+        dim,
+        key,
+        counts,
+        how=how,
+        spread=spread,
+        null_matches=null_matches,
+        task_rows=task_rows,
+        parts=parts,
     )
-    left = facts.withColumn("_salt", _salt(spread, copies))
-    on = left[key].eqNullSafe(right["_dim_key"]) & (left["_salt"] == right["_dim_salt"])
-    return left.join(right, on, "left").drop("_salt", "_dim_key", "_dim_salt")
 
 
 def is_short(lookup: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> bool:
@@ -70,60 +129,10 @@ def lookup_join(
     """Left join to a lookup that is unique on ``key``, null matching null.
 
     The lookup is counted before it is broadcast, unless the caller did so; a
-    longer one is joined by shuffle with its keys spread by ``spread``, which
-    therefore has to tell the facts of one key apart.
+    longer one is joined by shuffle, with the facts of its frequent keys spread
+    by ``spread``.
     """
     if not (is_short(lookup) if short is None else short):
-        return replicated_join(facts, lookup, key, spread=spread)
+        return hot_key_join(facts, lookup, key, how="left", spread=spread, null_matches=True)
     small = F.broadcast(lookup.withColumnRenamed(key, "_dim_key"))
     return facts.join(small, facts[key].eqNullSafe(small["_dim_key"]), "left").drop("_dim_key")
-
-
-def hot_key_join(
-    facts: DataFrame,
-    dim: DataFrame,
-    key: str,
-    *,
-    how: str,
-    spread: Sequence[str],
-    counted: DataFrame | None = None,
-    copies: int = COPIES,
-    hot_keys: int = HOT_KEYS,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Join un-aggregated facts to a large dim that is unique on ``key``.
-
-    Hot keys are the ``hot_keys`` most frequent ones among those with more than
-    ``hot_rows`` fact rows. That list is safe to broadcast whatever the size of
-    the data, and every key with more than 1/``hot_keys`` of the rows is on it.
-    Only hot dim rows are copied; facts of hot keys are spread over the copies
-    by their own content. The list decides where rows meet, never whether: every
-    row is kept.
-
-    ``counted`` may name a cheaper table with the same keys to count on.
-    """
-    if how not in ("inner", "left"):
-        raise ValueError(f"unsupported join type: {how}")
-    hot = F.broadcast(
-        (facts if counted is None else counted)
-        .groupBy(F.col(key).alias("_hot_key"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where((F.col("_n") > hot_rows) & F.col("_hot_key").isNotNull())
-        .orderBy(F.desc("_n"), "_hot_key")
-        .limit(hot_keys)
-        .select("_hot_key")
-    )
-    is_hot = F.col("_hot_key").isNotNull()
-    # Missing keys match nothing but still travel in a left join: spread them too.
-    left = (
-        facts.join(hot, facts[key] == hot["_hot_key"], "left")
-        .withColumn("_salt", F.when(is_hot | F.col(key).isNull(), _salt(spread, copies)).otherwise(0))
-        .drop("_hot_key")
-    )
-    every_salt = F.sequence(F.lit(0), F.lit(copies - 1))
-    right = (
-        dim.join(hot, dim[key] == hot["_hot_key"], "left")
-        .withColumn("_salt", F.explode(F.when(is_hot, every_salt).otherwise(F.array(F.lit(0)))))
-        .drop("_hot_key")
-    )
-    return left.join(right, [key, "_salt"], how).drop("_salt")

@@ -1,123 +1,208 @@
-"""Presence matrices: wide only at the edge, one column per feature."""
+"""Presence matrices: sorted feature sets inside, one column per feature only at the edge."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-from operator import add
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladefreq import presets
 
-MAX_WIDE_FEATURES = 10_000
+#: Features whose list is one row, and entities that meet one copy of it.
+FEATURES_PER_BUCKET = 512
+ENTITIES_PER_PLACE = 100_000
+GROUP_COLUMNS = ("group", "group_size", "subgroup", "subgroup_size")
 
 
-def _wide(rows: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+def feature_sets(pairs: DataFrame, entities: DataFrame, columns: Sequence[str] = GROUP_COLUMNS) -> DataFrame:
+    """One row per kept entity: the chosen columns and its ``features``, distinct and sorted.
+
+    Repeated pairs are removed on the map side; entities without a feature have
+    an empty array. This is the whole matrix in its sparse form, for any number
+    of features.
+    """
+    sets = pairs.groupBy("entity_id").agg(F.sort_array(F.collect_set("feature")).alias("features"))
+    joined = entities.select("entity_id", *columns).join(sets, "entity_id", "left")
+    nothing = F.array().cast("array<string>")
+    return joined.withColumn("features", F.coalesce("features", nothing))
+
+
+def size_cut_sets(
+    pairs: DataFrame, sized_entities: DataFrame, min_group_size: int = presets.MIN_GROUP_SIZE
+) -> DataFrame:
+    """``entity_id, subgroup, features`` of entities in large enough subgroups.
+
+    Entities without any feature have no row here, which is the row-total cut.
+    """
+    large = sized_entities.where(F.col("subgroup_size") > min_group_size)
+    sets = feature_sets(pairs, large, ["subgroup"])
+    return sets.where(F.size("features") > 0)
+
+
+def feature_totals(sets: DataFrame) -> DataFrame:
+    """Entities that have each feature."""
     return (
-        rows.groupBy(*keys)
-        .pivot("feature", list(features))
-        .agg(F.max(F.lit(1)))
-        .fillna(0, subset=list(features))
+        sets.select(F.explode("features").alias("feature"))
+        .groupBy("feature")
+        .agg(F.count(F.lit(1)).alias("feature_total"))
     )
 
 
-def seen_features(presence: DataFrame, max_features: int = MAX_WIDE_FEATURES) -> list[str]:
-    """Names of the features present, as the columns of a wide table need them."""
-    names = [r[0] for r in presence.select("feature").distinct().limit(max_features + 1).collect()]
-    if len(names) > max_features:
-        raise ValueError(f"more than {max_features} features: use the long form")
-    return sorted(names)
+def frequent_features(
+    sets: DataFrame, min_feature_total: int = presets.MIN_FEATURE_TOTAL
+) -> DataFrame:
+    """Features present in more than ``min_feature_total`` entities."""
+    return feature_totals(sets).where(F.col("feature_total") > min_feature_total)
+
+
+def feature_dictionary(features: DataFrame, taken: Sequence[str] = ()) -> dict[str, str]:
+    """Column name of each feature in a wide table, in name order; this collects the names.
+
+    A name is used as it is, whatever characters it has, unless a column in
+    ``taken`` or a feature before it has the same name up to case, which a table
+    cannot hold twice: then ``_2``, ``_3`` and so on is added.
+    """
+    names = sorted(r[0] for r in features.select("feature").distinct().collect())
+    used, out = {t.lower() for t in taken}, {}
+    for name in names:
+        column, n = name, 1
+        while column.lower() in used:
+            n += 1
+            column = f"{name}_{n}"
+        used.add(column.lower())
+        out[name] = column
+    return out
+
+
+def _flag(name: str) -> Column:
+    return F.array_contains("features", F.lit(name)).cast("int")
+
+
+def wide(sets: DataFrame, dictionary: Mapping[str, str]) -> DataFrame:
+    """The sets with a 0/1 column per feature of the dictionary in place of the array."""
+    rest = [F.col(c) for c in sets.columns if c != "features"]
+    return sets.select(*rest, *[_flag(name).alias(column) for name, column in dictionary.items()])
 
 
 def presence_matrix(
     pairs: DataFrame,
     entities: DataFrame,
-    features: Sequence[str] | None = None,
-    columns: Sequence[str] = ("group", "group_size", "subgroup", "subgroup_size"),
+    columns: Sequence[str] = GROUP_COLUMNS,
 ) -> DataFrame:
-    """0/1 per kept entity and feature, with the entity's group columns.
+    """0/1 per kept entity and feature found, with the entity's group columns.
 
-    The pivot removes repeated pairs itself; entities without a feature are rows
-    of zeros.
+    Entities without a feature are rows of zeros.
     """
-    names = list(features) if features is not None else seen_features(pairs)
-    wide = _wide(pairs, ["entity_id"], names)
-    return (
-        entities.select("entity_id", *columns)
-        .join(wide, "entity_id", "left")
-        .fillna(0, subset=names)
+    return wide(
+        feature_sets(pairs, entities, columns), feature_dictionary(pairs, ["entity_id", *columns])
     )
 
 
-def size_cut_presence(
-    pairs: DataFrame, sized_entities: DataFrame, min_group_size: int = presets.MIN_GROUP_SIZE
+def matrix_with_totals(
+    pairs: DataFrame,
+    sized_entities: DataFrame,
+    *,
+    min_group_size: int = presets.MIN_GROUP_SIZE,
+    total_label: str = "fam_sum",
 ) -> DataFrame:
-    """Distinct (entity, subgroup, feature) of entities in large enough subgroups.
+    """Matrix of the large subgroups, a row total per entity, and one row of column sums.
 
-    Entities without any feature have no row here, which is the row-total cut.
+    Rows and sums are two grouping sets of one pass over the feature sets. The
+    sums are there even if no entity is; a row without values stands in for them
+    and is left out again.
     """
+    keys = ["entity_id", "subgroup"]
+    names = feature_dictionary(pairs, [*keys, "row_total"])
     large = sized_entities.where(F.col("subgroup_size") > min_group_size)
-    present = pairs.select("entity_id", "feature").distinct()
-    return present.join(large.select("entity_id", "subgroup"), "entity_id", "inner")
-
-
-def frequent_features(
-    presence: DataFrame, min_feature_total: int = presets.MIN_FEATURE_TOTAL
-) -> DataFrame:
-    """Features present in more than ``min_feature_total`` entities."""
-    return (
-        presence.groupBy("feature")
-        .agg(F.count(F.lit(1)).alias("feature_total"))
-        .where(F.col("feature_total") > min_feature_total)
+    sets = feature_sets(pairs, large, ["subgroup"]).withColumn("_is_row", F.lit(1))
+    nothing = sets.sparkSession.range(1).select(
+        F.lit(None).cast("string").alias("entity_id"),
+        F.lit(None).cast("string").alias("subgroup"),
+        F.array().cast("array<string>").alias("features"),
+        F.lit(0).alias("_is_row"),
+    )
+    # Positions stand for the names until the end, so no name can clash with a key.
+    flags = {f"_{i}": name for i, name in enumerate(names)}
+    flagged = sets.unionByName(nothing).select(
+        *keys, "_is_row", F.size("features").alias("_total"), *[_flag(n).alias(i) for i, n in flags.items()]
+    )
+    numbers = [*flags, "_total"]
+    summed = flagged.groupingSets([[F.col(k) for k in keys], []], *[F.col(k) for k in keys]).agg(
+        F.grouping_id().alias("_grouping"),
+        F.max("_is_row").alias("_is_row"),
+        *[F.sum(c).cast("long").alias(c) for c in numbers],
+    )
+    is_total = F.col("_grouping") > 0
+    return summed.where(is_total | (F.col("_is_row") > 0)).select(
+        "entity_id",
+        F.when(is_total, F.lit(total_label)).otherwise(F.col("subgroup")).alias("subgroup"),
+        *[F.col(i).alias(names[name]) for i, name in flags.items()],
+        F.col("_total").alias("row_total"),
     )
 
 
-def pruned_matrix(
-    presence: DataFrame, min_feature_total: int = presets.MIN_FEATURE_TOTAL
-) -> tuple[DataFrame, list[str]]:
-    """Wide 0/1 matrix over the frequent features, and their names.
+def pruned_sets(
+    sets: DataFrame, min_feature_total: int = presets.MIN_FEATURE_TOTAL
+) -> DataFrame:
+    """The sets without infrequent features.
 
-    An entity whose features are all infrequent stays as a row of zeros: the row
+    An entity whose features are all infrequent stays with an empty set: the row
     cut looks at totals over all features.
     """
-    names = seen_features(frequent_features(presence, min_feature_total))
-    return _wide(presence, ["entity_id", "subgroup"], names), names
+    kept = frequent_features(sets, min_feature_total).withColumnRenamed("feature", "_kept")
+    each = sets.select("entity_id", "subgroup", F.explode("features").alias("feature"))
+    flagged = each.join(kept.select("_kept"), F.col("feature") == F.col("_kept"), "left")
+    return flagged.groupBy("entity_id", "subgroup").agg(
+        F.sort_array(F.collect_list("_kept")).alias("features")
+    )
 
 
-def pruned_presence(
-    presence: DataFrame, min_feature_total: int = presets.MIN_FEATURE_TOTAL
+def pruned_matrix(
+    sets: DataFrame, min_feature_total: int = presets.MIN_FEATURE_TOTAL
 ) -> DataFrame:
-    """The pruned matrix in long form: entity, subgroup, feature, 0 or 1."""
-    wide, names = pruned_matrix(presence, min_feature_total)
-    if not names:
-        return wide.select("entity_id", "subgroup").select(
-            "*", F.lit(None).cast("string").alias("feature"), F.lit(0).alias("present")
-        ).where("feature IS NOT NULL")
-    return wide.unpivot(["entity_id", "subgroup"], names, "feature", "present")
+    """Wide 0/1 matrix over the frequent features."""
+    kept = frequent_features(sets, min_feature_total)
+    return wide(
+        pruned_sets(sets, min_feature_total), feature_dictionary(kept, ["entity_id", "subgroup"])
+    )
 
 
-def matrix_with_totals(
-    matrix: DataFrame,
-    features: Sequence[str],
-    *,
-    min_group_size: int = presets.MIN_GROUP_SIZE,
-    total_label: str = "fam_sum",
+def pruned_presence(
+    sets: DataFrame, min_feature_total: int = presets.MIN_FEATURE_TOTAL
 ) -> DataFrame:
-    """Matrix of the large subgroups, a row total per entity, and one row of column sums."""
-    names = list(features)
-    rows = (
-        matrix.where(F.col("subgroup_size") > min_group_size)
-        .select("entity_id", "subgroup", *[F.col(f"`{n}`").cast("long") for n in names])
-        .withColumn("row_total", reduce(add, [F.col(f"`{n}`") for n in names]))
+    """The pruned matrix in long form: entity, subgroup, feature, 0 or 1.
+
+    Entities times frequent features, as asked for. Each entity is copied to every
+    bucket of features, so no row holds all of them; the buckets have the lists.
+    """
+    kept = frequent_features(sets, min_feature_total)
+    buckets = F.greatest(
+        F.lit(1), F.ceil(kept.agg(F.count(F.lit(1)).alias("n")).select("n").scalar() / FEATURES_PER_BUCKET)
+    ).cast("int")
+    bucket = F.pmod(F.xxhash64("feature"), buckets).cast("int")
+    lists = kept.withColumn("_bucket", bucket).groupBy("_bucket").agg(F.collect_list("feature").alias("_list"))
+    places = F.greatest(
+        F.lit(1), F.ceil(sets.agg(F.count(F.lit(1)).alias("n")).select("n").scalar() / ENTITIES_PER_PLACE)
+    ).cast("int")
+    lists = lists.withColumn("_place", F.explode(F.sequence(F.lit(0), places - 1)))
+    spread = sets.select(
+        "entity_id",
+        "subgroup",
+        "features",
+        F.pmod(F.xxhash64("entity_id"), places).cast("int").alias("_place"),
+        F.explode(F.sequence(F.lit(0), buckets - 1)).alias("_bucket"),
     )
-    numbers = [*names, "row_total"]
-    totals = rows.agg(
-        *[F.coalesce(F.sum(f"`{n}`"), F.lit(0)).alias(n) for n in numbers]
-    ).select(
-        F.lit(None).cast("string").alias("entity_id"),
-        F.lit(total_label).alias("subgroup"),
-        *[f"`{n}`" for n in numbers],
+    met = spread.join(lists, ["_bucket", "_place"])
+    return met.select(
+        "entity_id",
+        "subgroup",
+        F.inline(
+            F.transform(
+                "_list",
+                lambda f: F.struct(
+                    f.alias("feature"), F.array_contains("features", f).cast("int").alias("present")
+                ),
+            )
+        ),
     )
-    return rows.unionByName(totals)

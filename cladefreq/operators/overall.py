@@ -8,15 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cladefreq import presets
 from cladefreq.functions import percent_label, recode
 
 
 def overall_prevalence(
-    presence: DataFrame, entities: DataFrame, recoding: Mapping[str, str] | None = None
+    presence: DataFrame,
+    entities: DataFrame,
+    recoding: Mapping[str, str] | None = None,
+    sentinel: str = presets.SENTINEL,
 ) -> DataFrame:
-    """Percent of all kept entities, detected or not, that have each feature; sorted."""
+    """Percent of all kept entities, detected or not, that have each feature; sorted.
+
+    A feature that is the sentinel for "no classification" is none. Recoding
+    comes last, so features that get the same name keep rows of their own.
+    """
     total = entities.agg(F.count(F.lit(1))).scalar()
-    counted = presence.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    named = presence.where(F.col("feature") != sentinel)
+    counted = named.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
     return counted.select(
         recode(F.col("feature"), recoding).alias("feature"),
         (F.col("n") / total * 100).alias("pct"),

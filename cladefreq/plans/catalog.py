@@ -32,15 +32,10 @@ class Star:
     def raw_entities(self) -> DataFrame:
         return views.raw_entities(self.spark, self.sf_dir)
 
-    @cached_property
-    def cleaned(self) -> DataFrame:
-        """For queries that read the entities once."""
-        return entities.clean_entities(self.raw_entities, views.ENTITY_ORDER)
-
     @cached_property
     def entities(self) -> DataFrame:
-        """Stored, for queries in which sizes, denominators and joins all read it."""
-        return written(self.cleaned)
+        """Read by sizes, denominators and joins, which share its shuffle."""
+        return entities.clean_entities(self.raw_entities, views.ENTITY_ORDER)
 
     @cached_property
     def sized(self) -> DataFrame:
@@ -86,7 +81,7 @@ class Star:
 
     @cached_property
     def presence(self) -> DataFrame:
-        return detections.feature_presence(self.pairs, self.cleaned)
+        return detections.feature_presence(self.pairs, self.entities)
 
     @cached_property
     def overall(self) -> DataFrame:
@@ -109,10 +104,13 @@ class Star:
         )
 
     @cached_property
-    def cut_presence(self) -> DataFrame:
-        """Stored, because pruning reads it twice: for the names and for the pivot."""
+    def cut_sets(self) -> DataFrame:
         sized = entities.with_group_sizes(self.entities, ["subgroup"])
-        return written(matrix.size_cut_presence(self.pairs, sized))
+        return matrix.size_cut_sets(self.pairs, sized)
+
+    @cached_property
+    def covariance(self) -> DataFrame:
+        return components.feature_covariance(matrix.pruned_sets(self.cut_sets))
 
 
 def entity_clean(star: Star) -> DataFrame:
@@ -129,7 +127,7 @@ def evidence_detections(star: Star) -> DataFrame:
 
 def _subset(star: Star, condition) -> DataFrame:
     rows = detections.evidence_subset(
-        star.evidence, star.cleaned, condition, views.EVIDENCE_ORDER
+        star.evidence, star.entities, condition, views.EVIDENCE_ORDER
     )
     return rows.drop(*views.EVIDENCE_ORDER)
 
@@ -203,19 +201,16 @@ def set_overlap_regions(star: Star) -> DataFrame:
 
 
 def presence_matrix(star: Star) -> DataFrame:
-    return matrix.presence_matrix(star.pairs, star.sized, views.FEATURES)
+    return matrix.presence_matrix(star.pairs, star.sized)
 
 
 def presence_matrix_totals(star: Star) -> DataFrame:
     sized = entities.with_group_sizes(star.entities, ["subgroup"])
-    wide = matrix.presence_matrix(
-        star.pairs, sized, views.FEATURES, columns=("subgroup", "subgroup_size")
-    )
-    return matrix.matrix_with_totals(wide, views.FEATURES)
+    return matrix.matrix_with_totals(star.pairs, sized)
 
 
 def presence_matrix_pruned(star: Star) -> DataFrame:
-    return matrix.pruned_presence(star.cut_presence)
+    return matrix.pruned_presence(star.cut_sets)
 
 
 def group_heatmap(star: Star) -> DataFrame:
@@ -227,23 +222,32 @@ def subgroup_heatmap(star: Star) -> DataFrame:
 
 
 def type_heatmap(star: Star) -> DataFrame:
-    return grid.heatmap_display(star.type_grid, feature="merged_type", min_group_size=None)
+    return grid.heatmap_display(
+        star.type_grid,
+        feature="merged_type",
+        facets=("type_class", "type_group"),
+        min_group_size=None,
+        rotate_above=None,
+    )
 
 
 def feature_covariance(star: Star) -> DataFrame:
-    wide, names = matrix.pruned_matrix(star.cut_presence)
-    covariance = components.feature_covariance(wide, names)
-    return covariance.withColumn("covariance", F.round("covariance", 12))
+    rounded = F.round("covariance", 12).alias("covariance")
+    return star.covariance.select("feature_a", "feature_b", rounded)
+
+
+def _rounded(table: DataFrame) -> DataFrame:
+    """Numbers of an iteration to nine digits, without a negative zero."""
+    numbers = [f.name for f in table.schema.fields if f.dataType.simpleString() == "double"]
+    return table.withColumns({c: F.round(c, 9) + 0.0 for c in numbers})
 
 
 def pca_variance(star: Star) -> DataFrame:
-    wide, names = matrix.pruned_matrix(star.cut_presence)
-    return components.variance_table(star.spark, components.fit_components(wide, names))
+    return _rounded(components.variance_table(star.covariance))
 
 
 def pca_variable_map(star: Star) -> DataFrame:
-    wide, names = matrix.pruned_matrix(star.cut_presence)
-    return components.variable_map(star.spark, components.fit_components(wide, names))
+    return _rounded(components.variable_map(star.covariance))
 
 
 def lookup_key_check(star: Star) -> DataFrame:

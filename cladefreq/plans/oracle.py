@@ -116,7 +116,7 @@ presence AS (
 _OVERALL = """
 overall AS (
   SELECT feature, count(*) / (SELECT count(*) FROM entities) * 100 AS pct
-  FROM presence GROUP BY feature
+  FROM presence WHERE feature <> '#N/A' GROUP BY feature
 )"""
 
 _TYPE_GRID = """
@@ -174,7 +174,6 @@ def _with(ctes: list[str], select: str) -> str:
 
 
 _BASE = [_ENTITIES, _EVIDENCE, _ARRAYS, _LOOKUP, _ENRICHED]
-_FEATURES = ("anvil", "bolt", "gear", "plate", "prototype", "ring", "signal", "widget")
 
 
 def _subset(condition: str) -> str:
@@ -228,17 +227,6 @@ masks AS (
 ),
 regions AS (SELECT CAST(range AS INTEGER) AS mask FROM range(1, 16))"""
 
-_WIDE = """
-wide AS (
-  SELECT s.entity_id, s.grp, s.grp_size, s.sub, s.sub_size,
-""" + ",\n".join(
-    f"         CAST(coalesce(max(CASE WHEN p.feature = '{f}' THEN 1 END), 0) AS INTEGER) AS {f}"
-    for f in _FEATURES
-) + """
-  FROM sized s LEFT JOIN presence p ON s.entity_id = p.entity_id
-  GROUP BY s.entity_id, s.grp, s.grp_size, s.sub, s.sub_size
-)"""
-
 _PRUNED = """
 cut AS (SELECT entity_id, sub, feature FROM presence WHERE sub_size > 5),
 frequent AS (SELECT feature FROM cut GROUP BY feature HAVING count(*) > 5),
@@ -250,14 +238,52 @@ pruned AS (
 )"""
 
 
+#: Components by repeated squaring and deflation: after 45 squarings of the covariance, scaled to trace one, the matrix is
+#: the projector on its first axis, the column of its largest diagonal cell that axis with its largest loading positive.
+#: Taking the axis out of the matrix leaves the next one first.
+_TIMES = """list_transform({a}, lambda r: list_transform(range(1, len(r) + 1), lambda j:
+      list_sum(list_transform(range(1, len(r) + 1), lambda l: r[l] * {b}[l][j]))))"""
+_TRACE = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i][i]))"
+_SCALED = "list_transform({a}, lambda r: list_transform(r, lambda x: x / {t}))"
+
+_COMPONENTS = f"""
+pairs AS (
+  SELECT a.feature AS fa, b.feature AS fb, covar_samp(a.present, b.present) AS x
+  FROM pruned a JOIN pruned b ON a.entity_id = b.entity_id GROUP BY 1, 2),
+size AS (SELECT count(DISTINCT entity_id) AS n FROM pruned),
+start AS (
+  SELECT list(fa ORDER BY fa) AS names, list(line ORDER BY fa) AS m
+  FROM (SELECT fa, list(x ORDER BY fb) AS line FROM pairs GROUP BY fa)),
+climb AS (
+  SELECT 1 AS component, 0 AS step, m AS left_over, {_SCALED.format(a="m", t="(" + _TRACE.format(a="m") + ")")} AS p,
+    NULL::DOUBLE AS eigenvalue, NULL::DOUBLE[] AS v
+  FROM start
+  UNION ALL
+  SELECT CASE WHEN step = 46 THEN component + 1 ELSE component END, CASE WHEN step = 46 THEN 1 ELSE step + 1 END,
+    CASE WHEN step = 45 THEN list_transform(range(1, len(v) + 1), lambda i:
+      list_transform(range(1, len(v) + 1), lambda j: left_over[i][j] - eigenvalue * v[i] * v[j])) ELSE left_over END,
+    CASE WHEN step < 44 THEN {_SCALED.format(a="sq", t="(" + _TRACE.format(a="sq") + ")")}
+      WHEN step = 46 THEN {_SCALED.format(a="left_over", t="(" + _TRACE.format(a="left_over") + ")")} ELSE p END,
+    CASE WHEN step = 44 THEN list_sum(list_transform(range(1, len(axis) + 1), lambda i:
+      axis[i] * list_sum(list_transform(range(1, len(axis) + 1), lambda j: left_over[i][j] * axis[j])))) ELSE eigenvalue END,
+    CASE WHEN step = 44 THEN axis ELSE v END
+  FROM (
+    SELECT *, {_TIMES.format(a="p", b="p")} AS sq,
+      list_transform(p, lambda r: r[top] / sqrt(p[top][top])) AS axis
+    FROM (SELECT *, list_position(diagonal, list_max(diagonal)) AS top
+      FROM (SELECT *, list_transform(range(1, len(p) + 1), lambda i: p[i][i]) AS diagonal FROM climb)))
+  WHERE NOT (component = len(p) AND step = 45)),
+found AS (SELECT component, eigenvalue, v FROM climb WHERE step = 45)"""
+
+
+def _with_recursive(ctes: list[str], select: str) -> str:
+    return _with(ctes, select).replace("WITH", "WITH RECURSIVE", 1)
+
+
 def all_oracles() -> dict[str, str]:
     presence = [*_BASE, _PRESENCE]
     overall = [*presence, _OVERALL]
     types = [_ENTITIES, _ARRAYS, _CLASSES, _TYPE_GRID]
-    columns = ", ".join(_FEATURES)
-    longs = ", ".join(f"CAST({f} AS BIGINT) AS {f}" for f in _FEATURES)
-    row_total = "CAST(" + " + ".join(_FEATURES) + " AS BIGINT) AS row_total"
-    sums = ", ".join(f"CAST(coalesce(sum({f}), 0) AS BIGINT) AS {f}" for f in (*_FEATURES, "row_total"))
     return {
         "entity_clean": _with(
             [_ENTITIES],
@@ -342,19 +368,36 @@ SELECT concat_ws(' & ', CASE WHEN r.mask & 1 > 0 THEN 'gear' END, CASE WHEN r.ma
 FROM regions r LEFT JOIN masks m ON r.mask = m.mask GROUP BY r.mask""",
         ),
         "presence_matrix": _with(
-            [*presence, _WIDE],
-            f"""SELECT entity_id, grp AS "group", grp_size AS group_size, sub AS subgroup,
-       sub_size AS subgroup_size, {columns} FROM wide""",
+            [
+                *presence,
+                """
+marked AS (
+  SELECT s.entity_id, s.grp AS "group", s.grp_size AS group_size, s.sub AS subgroup, s.sub_size AS subgroup_size,
+         p.feature
+  FROM sized s LEFT JOIN presence p ON s.entity_id = p.entity_id
+)""",
+            ],
+            """SELECT * FROM (
+  PIVOT marked ON feature USING CAST(count(feature) AS INTEGER)
+  GROUP BY entity_id, "group", group_size, subgroup, subgroup_size)""",
         ),
         "presence_matrix_totals": _with(
             [
                 *presence,
-                _WIDE,
-                f"""
-cut_rows AS (SELECT entity_id, sub AS subgroup, {longs}, {row_total} FROM wide WHERE sub_size > 5)""",
+                """
+large AS (
+  SELECT s.entity_id, s.sub AS subgroup, p.feature
+  FROM sized s LEFT JOIN presence p ON s.entity_id = p.entity_id WHERE s.sub_size > 5
+),
+summed AS (
+  SELECT entity_id, subgroup, feature, count(feature) AS n FROM large WHERE feature IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT entity_id, subgroup, 'row_total', count(feature) FROM large GROUP BY ALL
+  UNION ALL SELECT NULL, 'fam_sum', feature, count(feature) FROM large WHERE feature IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT NULL, 'fam_sum', 'row_total', count(feature) FROM large
+)""",
             ],
-            f"""SELECT * FROM cut_rows
-UNION ALL SELECT NULL, 'fam_sum', {sums} FROM cut_rows""",
+            """SELECT entity_id, subgroup, coalesce(COLUMNS(* EXCLUDE (entity_id, subgroup)), 0) FROM (
+  PIVOT summed ON feature USING CAST(sum(n) AS BIGINT) GROUP BY entity_id, subgroup)""",
         ),
         "presence_matrix_pruned": _with(
             [*presence, _PRUNED],
@@ -366,15 +409,39 @@ UNION ALL SELECT NULL, 'fam_sum', {sums} FROM cut_rows""",
         "subgroup_heatmap": _heatmap(
             [*_BASE, _feature_grid("sub")], "feature_grid", "k", "k_size", "subgroup", "feature", "k_size > 5"
         ),
-        "type_heatmap": _heatmap(
-            types, "type_grid", "grp", "grp_size", '"group"', "merged_type", "true"
-        ).replace('"group"_size', "group_size"),
+        "type_heatmap": _with(
+            types,
+            """
+SELECT t.grp AS "group", t.grp_size AS group_size, t.merged_type, c.type_class, c.type_group, t.n_with, t.share,
+       coalesce(t.grp, 'NA') || chr(10) || CAST(t.grp_size AS VARCHAR) AS axis_label,
+       dense_rank() OVER (ORDER BY t.grp_size, t.grp NULLS FIRST) AS display_rank
+FROM type_grid t LEFT JOIN first_classes c ON t.merged_type = c.merged_type""",
+        ),
         "feature_covariance": _with(
             [*presence, _PRUNED],
             """
 SELECT a.feature AS feature_a, b.feature AS feature_b,
        round(covar_samp(a.present, b.present), 12) AS covariance
 FROM pruned a JOIN pruned b ON a.entity_id = b.entity_id GROUP BY 1, 2""",
+        ),
+        "pca_variance": _with_recursive(
+            [*presence, _PRUNED, _COMPONENTS],
+            """
+SELECT component, round(sqrt(eigenvalue), 9) AS std_dev, round(eigenvalue * (n - 1) / n, 9) AS eigenvalue,
+       round(eigenvalue / sum(eigenvalue) OVER (), 9) AS share,
+       round(sum(eigenvalue) OVER (ORDER BY component) / sum(eigenvalue) OVER (), 9) AS cumulative_share
+FROM found, size""",
+        ),
+        "pca_variable_map": _with_recursive(
+            [*presence, _PRUNED, _COMPONENTS],
+            """
+SELECT names[i] AS feature, round(c1 * sqrt((n - 1) / n) + 0.0, 9) AS coord1,
+       round(c2 * sqrt((n - 1) / n) + 0.0, 9) AS coord2,
+       round((c1 * c1 + c2 * c2) / m[i][i], 9) AS cos2, (c1 * c1 + c2 * c2) / m[i][i] >= 0.02 AS kept
+FROM (
+  SELECT s.names, s.m, s.n::DOUBLE AS n, i, f1.v[i] * sqrt(f1.eigenvalue) AS c1, f2.v[i] * sqrt(f2.eigenvalue) AS c2
+  FROM (SELECT *, unnest(range(1, len(names) + 1)) AS i FROM start, size) s
+  JOIN found f1 ON f1.component = 1 JOIN found f2 ON f2.component = 2)""",
         ),
         "lookup_key_check": _with(
             [

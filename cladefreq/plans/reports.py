@@ -37,7 +37,11 @@ def type_report(
         "type_totals": totals,
         "type_distribution": grid.type_distribution(totals),
         "type_heatmap": grid.heatmap_display(
-            by_group, feature="merged_type", min_group_size=None
+            by_group,
+            feature="merged_type",
+            facets=("type_class", "type_group"),
+            min_group_size=None,
+            rotate_above=None,
         ),
     }
 
@@ -76,7 +80,9 @@ def feature_report(
     by_group = grid.feature_prevalence_by_group(enriched, sized, **options)
     by_subgroup = grid.feature_prevalence_by_group(enriched, sized, group="subgroup", **options)
     presence = enriched_presence(enriched, exclude=exclude, recoding=recoding)
-    prevalence = shares.overall_prevalence(presence, sized)
+    prevalence = shares.overall_prevalence(
+        enriched_presence(enriched, exclude=exclude), sized, recoding
+    )
     return {
         "detections_enriched": enriched,
         "feature_prevalence_by_group": by_group,
@@ -118,7 +124,6 @@ def supplementary_report(
     recoding: Mapping[str, str] | None = presets.FEATURE_RECODE,
 ) -> dict[str, DataFrame]:
     """Entity and pattern-subset listings, presence matrices and components."""
-    spark = raw_entities.sparkSession
     lookups.require_unique(feature_lookup, "feature_type")
     cleaned = written(entities.clean_entities(raw_entities, entity_order))
     sized = written(entities.with_group_sizes(cleaned))
@@ -136,11 +141,8 @@ def supplementary_report(
         exclude=exclude,
         recoding=recoding,
     )
-    presence = written(detections.feature_presence(pairs, cleaned))
-    names = matrix.seen_features(presence)
-    wide = matrix.presence_matrix(presence, sized, names)
-    pruned, kept = matrix.pruned_matrix(written(matrix.size_cut_presence(presence, sized)))
-    fit = components.fit_components(pruned, kept)
+    sets = written(matrix.size_cut_sets(pairs, sized))
+    covariance = written(components.feature_covariance(matrix.pruned_sets(sets)))
     return {
         "table_entities": entities.entity_export(raw_entities, entity_order, export_columns),
         "table_argonaute": detections.evidence_subset(
@@ -149,10 +151,10 @@ def supplementary_report(
         "table_retron": detections.evidence_subset(rows, cleaned, retron, ORDER_COLUMNS).drop(
             *listing
         ),
-        "presence_matrix": wide,
-        "presence_matrix_totals": matrix.matrix_with_totals(wide, names),
-        "presence_matrix_pruned": pruned,
-        "feature_covariance": components.feature_covariance(pruned, kept),
-        "pca_variance": components.variance_table(spark, fit),
-        "pca_variable_map": components.variable_map(spark, fit),
+        "presence_matrix": matrix.presence_matrix(pairs, sized),
+        "presence_matrix_totals": matrix.matrix_with_totals(pairs, sized),
+        "presence_matrix_pruned": matrix.pruned_matrix(sets),
+        "feature_covariance": covariance.drop("n_rows"),
+        "pca_variance": components.variance_table(covariance),
+        "pca_variable_map": components.variable_map(covariance),
     }

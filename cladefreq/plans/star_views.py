@@ -42,7 +42,6 @@ UNMATCHED_TYPE, RARE_TYPE = "old rod", "prototype"
 EXCLUDED = ("gizmo", "rod")
 RECODING = {"signal_raw": "signal"}
 SHARE_FEATURE = "signal"
-FEATURES = ("anvil", "bolt", "gear", "plate", "prototype", "ring", "signal", "widget")
 SETS = {
     "gear": ("gear",),
     "ring": ("ring",),

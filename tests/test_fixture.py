@@ -238,7 +238,7 @@ def test_matrix(pairs, cleaned):
         ("e3", 0, 1),
         ("e6", 0, 0),
     ]
-    totals = matrix.matrix_with_totals(wide, ["CRISPR-Cas", "RM"], min_group_size=1)
+    totals = matrix.matrix_with_totals(pairs, sized, min_group_size=1)
     assert rows(totals, "entity_id", "subgroup", "CRISPR-Cas", "RM", "row_total") == [
         ("e1", "F1", 1, 1, 2),
         ("e2", "F1", 0, 1, 1),
@@ -251,7 +251,7 @@ def test_matrix(pairs, cleaned):
 def test_pruning(pairs, cleaned):
     sized = entities.with_group_sizes(cleaned)
     # Subgroups of more than one entity; e6 has no feature and is dropped.
-    present = matrix.size_cut_presence(pairs, sized, 1)
+    present = matrix.size_cut_sets(pairs, sized, 1)
     assert rows(matrix.pruned_presence(present, 1), "entity_id", "feature", "present") == [
         ("e1", "CRISPR-Cas", 1),
         ("e1", "RM", 1),
@@ -261,19 +261,19 @@ def test_pruning(pairs, cleaned):
         ("e3", "RM", 0),
     ]
     # A cut equal to the total drops the column (strict), and every column may go.
-    assert matrix.pruned_matrix(present, 2)[1] == []
+    assert matrix.pruned_matrix(present, 2).columns == ["entity_id", "subgroup"]
     assert matrix.pruned_presence(present, 2).count() == 0
     # The size cut is strict as well.
-    assert matrix.size_cut_presence(pairs, sized, 2).count() == 0
+    assert matrix.size_cut_sets(pairs, sized, 2).count() == 0
 
 
 def test_row_of_zeros_survives_the_column_cut(spark):
     present = spark.createDataFrame(
-        [("a", "s", "x"), ("b", "s", "x"), ("c", "s", "y")],
-        "entity_id string, subgroup string, feature string",
+        [("a", "s", ["x"]), ("b", "s", ["x"]), ("c", "s", ["y"])],
+        "entity_id string, subgroup string, features array<string>",
     )
-    wide, names = matrix.pruned_matrix(present, 1)
-    assert names == ["x"]
+    wide = matrix.pruned_matrix(present, 1)
+    assert wide.columns == ["entity_id", "subgroup", "x"]
     assert rows(wide, "entity_id", "x") == [("a", 1), ("b", 1), ("c", 0)]
 
 

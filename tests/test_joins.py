@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from cladefreq.operators.joins import hot_key_join, is_short, lookup_join, replicated_join
+from cladefreq.operators.joins import hot_key_join, is_short, lookup_join
 
 
 @pytest.fixture(scope="module")
@@ -29,9 +29,9 @@ def bag(df):
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-@pytest.mark.parametrize("hot_rows", [10, 1000, 10**9])
-def test_hot_key_join_equals_a_plain_join(facts, dim, how, hot_rows):
-    spread = hot_key_join(facts, dim, "key", how=how, spread=["row"], hot_rows=hot_rows, hot_keys=5)
+@pytest.mark.parametrize(("task_rows", "parts"), [(10, 10**6), (1000, 100), (10, 5), (10**9, 1)])
+def test_hot_key_join_equals_a_plain_join(facts, dim, how, task_rows, parts):
+    spread = hot_key_join(facts, dim, "key", how=how, spread=["row"], task_rows=task_rows, parts=parts)
     assert bag(spread) == bag(facts.join(dim, "key", how))
 
 
@@ -39,7 +39,7 @@ def test_hot_rows_meet_in_many_places(spark, facts, dim):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = hot_key_join(facts, dim, "key", how="left", spread=["row"], hot_rows=100)
+        joined = hot_key_join(facts, dim, "key", how="left", spread=["row"], task_rows=100)
         place = joined.withColumn("p", F.spark_partition_id())
         assert place.where("key = 'hot'").select("p").distinct().count() > 4
         assert place.where("key IS NULL").select("p").distinct().count() > 4
@@ -54,11 +54,41 @@ def test_other_join_types_are_refused(facts, dim):
         hot_key_join(facts, dim, "key", how="full", spread=["row"])
 
 
-def test_replicated_join_matches_null_with_null(spark, facts, dim):
+def test_null_may_match_null(spark, facts, dim):
     with_null = dim.unionByName(spark.createDataFrame([(None, "none")], "key string, value string"))
     left, right = facts.alias("l"), with_null.alias("r")
     plain = left.join(right, F.expr("l.key <=> r.key"), "left").select("row", "l.key", "value")
-    assert bag(replicated_join(facts, with_null, "key", spread=["row"])) == bag(plain)
+    for task_rows in (10, 10**9):
+        spread = hot_key_join(
+            facts, with_null, "key", how="left", spread=["row"], null_matches=True, task_rows=task_rows
+        )
+        assert bag(spread) == bag(plain)
+
+
+def test_no_task_holds_a_whole_key_however_many_are_hot(spark):
+    """1,500 keys of 200 rows, all of them over the limit of 50: each lies in several tasks, none is left out."""
+    keys, rows_of_each = 1500, 200
+    facts = spark.range(keys * rows_of_each).select(
+        F.col("id").cast("string").alias("row"), (F.col("id") % keys).alias("key")
+    )
+    dim = spark.range(keys).select(F.col("id").alias("key"), (F.col("id") * 2).alias("value"))
+    conf = {"autoBroadcastJoinThreshold": "-1", "adaptive.enabled": "false", "shuffle.partitions": "64"}
+    for name, value in conf.items():
+        spark.conf.set(f"spark.sql.{name}", value)
+    try:
+        joined = hot_key_join(facts, dim, "key", how="inner", spread=["row"], task_rows=50)
+        held = joined.groupBy("key", F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"))
+        found = held.groupBy("key").agg(F.max("n").alias("most"), F.sum("n").alias("n")).agg(
+            F.count("*"), F.max("most"), F.sum("n"), F.min("n")
+        )
+        n_keys, most, n, least = found.first()
+        assert (n_keys, n, least) == (keys, keys * rows_of_each, rows_of_each)
+        assert most < rows_of_each
+        assert joined.where("value <> key * 2").isEmpty()
+    finally:
+        for name in conf:
+            spark.conf.unset(f"spark.sql.{name}")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
 def test_lookup_join_broadcasts_only_short_lookups(facts, dim):
@@ -68,7 +98,8 @@ def test_lookup_join_broadcasts_only_short_lookups(facts, dim):
     long = lookup_join(facts, dim, "key", spread=["row"], short=is_short(dim, 30))
     assert bag(short) == bag(long) == plain
 
-    def hinted(df):
-        return "strategy=broadcast" in df._jdf.queryExecution().analyzed().toString()
+    def analyzed(df):
+        return df._jdf.queryExecution().analyzed().toString()
 
-    assert hinted(short) and not hinted(long)
+    assert "strategy=broadcast" in analyzed(short) and "_salt" not in analyzed(short)
+    assert "_salt" in analyzed(long)
