@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cladefreq import presets
@@ -59,10 +60,11 @@ def feature_covariance(sets: DataFrame) -> DataFrame:
         )
     )
     dense = dense_grid(both, "feature_a", "feature_b", ["n"])
-    single = upper.where("feature_a = feature_b")
-    of_a = single.select(F.col("feature_a").alias("_a"), F.col("n").alias("n_a"))
-    of_b = single.select(F.col("feature_b").alias("_b"), F.col("n").alias("n_b"))
-    known = dense.join(of_a, F.col("feature_a") == F.col("_a")).join(of_b, F.col("feature_b") == F.col("_b"))
+    # A feature's own count stands on the diagonal; every partition here has one row per feature.
+    own = F.when(F.col("feature_a") == F.col("feature_b"), F.col("n"))
+    known = dense.withColumn("n_a", F.max(own).over(W.partitionBy("feature_a"))).withColumn(
+        "n_b", F.max(own).over(W.partitionBy("feature_b"))
+    )
 
     def whole(value):
         return value.cast("decimal(19,0)")
