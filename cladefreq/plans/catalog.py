@@ -12,8 +12,24 @@ from pyspark.sql import functions as F
 from cladefreq.operators import components, detections, entities, grid, lookups, matrix
 from cladefreq.operators import overall as shares
 from cladefreq.operators import sets as overlaps
+from cladefreq.operators.joins import first_per_key
 from cladefreq.plans import star_views as views
-from cladefreq.sources.writers import publish, shared_folder, written
+from cladefreq.plans import text_views as texts
+from cladefreq.sources import (
+    fingerprint,
+    header_names,
+    publish,
+    published,
+    read_arrays,
+    read_class_lookup,
+    read_entities,
+    read_evidence,
+    read_feature_lookup,
+    read_published,
+    read_text_table,
+    shared_folder,
+)
+from cladefreq.sources.readers import EVIDENCE_NUMBERS, ORDER_COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -261,23 +277,90 @@ def lookup_key_check(star: Star) -> DataFrame:
     return reduce(DataFrame.unionByName, reports)
 
 
+#: Result tables as text, and listings that are sheets of one collection.
+CSV_TABLES = (
+    "typed_detections",
+    "detections_enriched",
+    "feature_prevalence_by_group",
+    "feature_prevalence_by_subgroup",
+    "feature_prevalence_overall",
+)
+
+
 def publish_tables(star: Star) -> DataFrame:
-    """Write two result tables to the shared folder and read them back."""
-    named = {"entity_export": entity_export(star), "feature_prevalence": star.overall}
-    paths = publish(named, shared_folder(star.spark))
-    listing = star.spark.read.parquet(paths["entity_export"])
-    prevalence = star.spark.read.parquet(paths["feature_prevalence"])
-    return listing.groupBy(F.lit("entity_export").alias("table_name"), F.col("area").alias("item")).agg(
-        F.count(F.lit(1)).cast("double").alias("value")
-    ).unionByName(
-        prevalence.select(
-            F.lit("feature_prevalence").alias("table_name"),
-            F.col("feature").alias("item"),
-            F.col("pct").alias("value"),
+    """Publish the eight result tables and read them back by the manifest: one row each."""
+    tables = {
+        "typed_detections": typed_detections(star),
+        "detections_enriched": detections_enriched(star),
+        "feature_prevalence_by_group": feature_prevalence_by_group(star),
+        "feature_prevalence_by_subgroup": feature_prevalence_by_subgroup(star),
+        "feature_prevalence_overall": star.overall,
+        "entity_export": entity_export(star),
+        "evidence_subset_regex": evidence_subset_regex(star),
+        "evidence_subset_prefix": evidence_subset_prefix(star),
+    }
+    root = shared_folder(star.spark)
+    publish(tables, root, fmt=dict.fromkeys(CSV_TABLES, "csv"))
+    listed = published(star.spark, root).select("table_name", "file_format")
+    marks = [
+        fingerprint(read_published(star.spark, root, name)).select(F.lit(name).alias("_name"), "n_rows", "checksum")
+        for name in tables
+    ]
+    found = reduce(DataFrame.unionByName, marks)
+    return listed.join(found, F.col("table_name") == F.col("_name")).drop("_name")
+
+
+def text_entities(star: Star) -> DataFrame:
+    """First row of each id in file order, from a tab-separated file."""
+    raw = read_entities(star.spark, texts.entity_file(star.spark, star.sf_dir))
+    return entities.entity_export(raw, ORDER_COLUMNS, ("source_name", "segment", "home", "area"))
+
+
+def text_arrays(star: Star) -> DataFrame:
+    """Array detections from the ragged file."""
+    return detections.array_detections(read_arrays(star.spark, texts.array_file(star.spark, star.sf_dir)))
+
+
+def text_evidence(star: Star) -> DataFrame:
+    """First row of each locus in file order among those that pass the cuts, from a comma-separated file."""
+    raw = read_evidence(star.spark, texts.evidence_file(star.spark, star.sf_dir))
+    kept = detections.evidence_rows(raw, **views.EVIDENCE_CUTS)
+    first = first_per_key(kept, detections.LOCUS_KEYS, ORDER_COLUMNS)
+    return first.select(
+        "entity_id",
+        "feature_type",
+        F.col("locus_number").cast("int").alias("locus_number"),
+        "protein_name",
+        *EVIDENCE_NUMBERS,
+    )
+
+
+def text_lookups(star: Star) -> DataFrame:
+    """Both lookups from tab-separated files; of the classes, the first row of each merged type."""
+    features, classes = texts.lookup_files(star.spark, star.sf_dir)
+    first = grid.first_class_per_merged_type(read_class_lookup(star.spark, classes), ORDER_COLUMNS)
+    return (
+        read_feature_lookup(star.spark, features)
+        .select(F.lit("features").alias("table_name"), F.col("feature_type").alias("key"), F.col("feature").alias("value"))
+        .unionByName(
+            first.select(F.lit("classes").alias("table_name"), F.col("merged_type").alias("key"), F.col("prediction").alias("value"))
         )
     )
 
 
+def text_columns(star: Star) -> DataFrame:
+    """Names in the first lines of the text files, and how many cells below them are filled."""
+    entity_path = texts.entity_file(star.spark, star.sf_dir)
+    evidence_path = texts.evidence_file(star.spark, star.sf_dir)
+    files = (("entities", entity_path, "\t"), ("evidence", evidence_path, ","))
+    found = []
+    for name, path, sep in files:
+        names = header_names(star.spark, path, sep=sep)
+        raw = read_text_table(star.spark, path, sep=sep, columns=names, na="NA")
+        found.append(texts.filled_cells(raw, name))
+    return reduce(DataFrame.unionByName, found)
+
+
 ANALYSES: tuple[Callable[[Star], DataFrame], ...] = (
     entity_clean,
     entity_export,
@@ -308,6 +391,11 @@ ANALYSES: tuple[Callable[[Star], DataFrame], ...] = (
     pca_variable_map,
     lookup_key_check,
     publish_tables,
+    text_entities,
+    text_arrays,
+    text_evidence,
+    text_lookups,
+    text_columns,
 )
 
 

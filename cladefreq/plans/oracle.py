@@ -238,6 +238,46 @@ pruned AS (
 )"""
 
 
+#: Columns of the published tables, in order; a fraction is marked by a colon behind it.
+_PUBLISHED = {
+    "typed_detections": ("csv", "group group_size entity_id raw_type merged_type type_group type_class"),
+    "detections_enriched": (
+        "csv", "entity_id feature_type frequency lineage group subgroup group_size subgroup_size feature"
+    ),
+    "feature_prevalence_by_group": ("csv", "group group_size feature max_per_entity n_with n_total share:"),
+    "feature_prevalence_by_subgroup": ("csv", "subgroup subgroup_size feature max_per_entity n_with n_total share:"),
+    "feature_prevalence_overall": ("csv", "feature pct:"),
+    "entity_export": ("parquet", "entity_id source_name segment home area balance: lineage"),
+    "evidence_subset_regex": (
+        "parquet",
+        "entity_id feature_type locus_number full_seq_e_value: domain_ie_value: target_coverage: hmm_coverage:"
+        " protein_name lineage",
+    ),
+    "evidence_subset_prefix": (
+        "parquet",
+        "entity_id feature_type locus_number full_seq_e_value: domain_ie_value: target_coverage: hmm_coverage:"
+        " protein_name lineage",
+    ),
+}
+
+
+def _published() -> str:
+    queries, parts = all_oracles(published=False), []
+    for name, (kind, columns) in _PUBLISHED.items():
+        cells = [
+            f"""coalesce(CAST(round("{c[:-1]}" * 1000000) AS BIGINT)::VARCHAR, 'NA')"""
+            if c.endswith(":")
+            else f"""coalesce("{c}"::VARCHAR, 'NA')"""
+            for c in columns.split()
+        ]
+        parts.append(
+            f"""SELECT '{name}' AS table_name, '{kind}' AS file_format, count(*) AS n_rows,
+  CAST(coalesce(sum(('0x' || substr(md5(concat_ws('|', {", ".join(cells)})), 1, 8))::BIGINT), 0) AS BIGINT) AS checksum
+FROM ({queries[name]})"""
+        )
+    return "\nUNION ALL\n".join(parts)
+
+
 #: Components by repeated squaring and deflation: after 45 squarings of the covariance, scaled to trace one, the matrix is
 #: the projector on its first axis, the column of its largest diagonal cell that axis with its largest loading positive.
 #: Taking the axis out of the matrix leaves the next one first.
@@ -280,7 +320,8 @@ def _with_recursive(ctes: list[str], select: str) -> str:
     return _with(ctes, select).replace("WITH", "WITH RECURSIVE", 1)
 
 
-def all_oracles() -> dict[str, str]:
+def all_oracles(published: bool = True) -> dict[str, str]:
+    """SQL of every query; ``published`` leaves out the one that is made of others."""
     presence = [*_BASE, _PRESENCE]
     overall = [*presence, _OVERALL]
     types = [_ENTITIES, _ARRAYS, _CLASSES, _TYPE_GRID]
@@ -462,11 +503,52 @@ SELECT table_name, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_keys,
        count(*) FILTER (WHERE n > 1) AS n_repeated
 FROM (SELECT table_name, k, count(*) AS n FROM keys GROUP BY 1, 2) GROUP BY table_name""",
         ),
-        "publish_tables": _with(
-            overall,
+        **({"publish_tables": _published()} if published else {}),
+        "text_entities": _with(
+            [_ENTITIES],
+            """SELECT entity_id, source_name, segment, CASE WHEN home = 'CHINA' THEN '' ELSE home END AS home, area, lineage
+FROM kept_entities""",
+        ),
+        "text_arrays": _with([_ARRAYS], "SELECT * FROM arrays"),
+        "text_evidence": _with(
+            [_EVIDENCE],
+            """
+SELECT entity_id, feature_type, locus_number,
+       CASE WHEN l_partkey % 7 = 0 THEN protein_name || ', "x"' ELSE protein_name END AS protein_name,
+       full_seq_e_value, domain_ie_value, target_coverage, hmm_coverage
+FROM (
+  SELECT *, row_number() OVER (
+    PARTITION BY entity_id, feature_type, locus_number
+    ORDER BY l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) AS rn
+  FROM evidence WHERE l_suppkey % 11 <> 0)
+WHERE rn = 1""",
+        ),
+        "text_lookups": _with(
+            [_LOOKUP, _CLASSES],
+            """
+SELECT 'features' AS table_name, feature_type AS key, feature AS value FROM lookup
+UNION ALL SELECT 'classes', merged_type, prediction FROM (
+  SELECT *, row_number() OVER (PARTITION BY merged_type ORDER BY row_no) AS rn FROM classes) WHERE rn = 1""",
+        ),
+        "text_columns": _with(
+            [
+                _ENTITIES,
+                """
+items AS (
+  SELECT CASE WHEN l_suppkey % 11 <> 0 THEN l_tax END AS e_value
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
+),
+counted AS (
+  SELECT 'entities' AS table_name, [count(*), count(lineage), count(*), count(*), count(*), count(*)] AS n,
+    ['accession_genbank', 'classification', 'source_name', 'segment', 'home', 'area'] AS names FROM raw_entities
+  UNION ALL
+  SELECT 'evidence', [count(*), count(*), count(*), count(*), count(e_value), count(*), count(*), count(*)],
+    ['AccessionID', 'system.number', 'system', 'protein.name', 'full.seq.E.value', 'domain.iE.value',
+     'target.coverage', 'hmm.coverage'] FROM items
+)""",
+            ],
             """
-SELECT 'entity_export' AS table_name, area AS item, CAST(count(*) AS DOUBLE) AS value
-FROM kept_entities GROUP BY area
-UNION ALL SELECT 'feature_prevalence', feature, pct FROM overall""",
+SELECT table_name, CAST(i AS INTEGER) AS position, names[i] AS column_name, n[i] AS n_filled
+FROM (SELECT *, unnest(range(1, len(n) + 1)) AS i FROM counted)""",
         ),
     }

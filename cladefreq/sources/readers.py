@@ -31,9 +31,20 @@ def snake_name(name: str) -> str:
     return re.sub(r"[^0-9A-Za-z]+", "_", name).strip("_").lower()
 
 
-def _text(column: str):
+def _text(column: str, na: str = "NA"):
     value = F.col(f"`{column}`")
-    return F.when(value == "NA", F.lit(None)).otherwise(F.coalesce(value, F.lit("")))
+    return F.when(value == na, F.lit(None)).otherwise(F.coalesce(value, F.lit("")))
+
+
+def _reader(spark: SparkSession, sep: str):
+    # Quotes within quotes are doubled, as spreadsheets and R write them.
+    options = {"sep": sep, "header": True, "mode": "PERMISSIVE", "escape": '"'}
+    return spark.read.options(**options)
+
+
+def header_names(spark: SparkSession, path: str | Sequence[str], *, sep: str = "\t") -> list[str]:
+    """Column names in the first line of a delimited text file; reads no further."""
+    return _reader(spark, sep).csv([path] if isinstance(path, str) else list(path)).columns
 
 
 def read_text_table(
@@ -43,15 +54,16 @@ def read_text_table(
     sep: str = "\t",
     columns: Sequence[str] | None = None,
     file_order: bool = False,
+    na: str | None = None,
 ) -> DataFrame:
-    """Delimited text with a header line, every column as text.
+    """Delimited text with a header line, every column as text; ``na`` is the text of a missing cell.
 
     ``columns`` replaces the header names by position; lines with fewer cells
     are padded with missing values. ``file_order`` adds columns whose order is
     the order of lines in the files, however the files are split over tasks:
     file, offset of the split, position within the split.
     """
-    reader = spark.read.option("sep", sep).option("header", True).option("mode", "PERMISSIVE")
+    reader = _reader(spark, sep)
     if columns is not None:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     paths = [path] if isinstance(path, str) else list(path)
@@ -63,7 +75,8 @@ def read_text_table(
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_line"),
         ]
-    return df.select(*[F.col(f"`{c}`") for c in df.columns], *order)
+    plain = (lambda c: F.col(f"`{c}`")) if na is None else (lambda c: _text(c, na).alias(c))
+    return df.select(*[plain(c) for c in df.columns], *order)
 
 
 def read_entities(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -97,7 +110,8 @@ def read_evidence(
 
 def read_arrays(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Merged array file as it is: 16 names over 15 cells, header lines repeated."""
-    return read_text_table(spark, path, columns=presets.ARRAY_COLUMNS)
+    raw = read_text_table(spark, path, columns=presets.ARRAY_COLUMNS)
+    return raw.select(*[_text(c).alias(c) for c in raw.columns])
 
 
 def read_class_lookup(spark: SparkSession, path: str) -> DataFrame:

@@ -9,15 +9,19 @@ from cladefreq import presets
 from cladefreq.operators import detections, entities
 from cladefreq.operators.joins import first_per_key
 from cladefreq.sources import (
+    fingerprint,
+    header_names,
     publish,
+    published,
     read_arrays,
     read_class_lookup,
     read_entities,
     read_evidence,
     read_feature_lookup,
+    read_published,
     read_text_table,
     shared_folder,
-    write_csv,
+    write_lines,
     written,
 )
 from cladefreq.sources.readers import ORDER_COLUMNS
@@ -96,18 +100,78 @@ def test_lookups_with_carriage_returns(spark, tmp_path):
     assert rows(read_feature_lookup(spark, str(features))) == [("t1", "RM")]
 
 
+ODD_TEXTS = ['plain', '', None, 'a,b', 'with "quotes"', ' spaces ', '#N/A', 'é;|\t', "it's"]
+
+
 def test_publish_round_trip(spark, tmp_path):
-    one = spark.createDataFrame([("a", 1), (None, 2)], "k string, n int")
+    one = spark.createDataFrame(
+        [(t, i, i / 3) for i, t in enumerate(ODD_TEXTS)] + [("n", None, None)], "k string, n int, x double"
+    )
     two = one.where("n = 2")
-    for _ in range(2):  # writing again replaces
-        paths = publish({"one": one, "two": two}, str(tmp_path / "out"))
-    assert rows(spark.read.parquet(paths["one"])) == rows(one)
-    assert rows(spark.read.parquet(paths["two"])) == rows(two)
-    text = publish({"one": one}, str(tmp_path / "text"), fmt="csv")["one"]
-    back = spark.read.csv(text, header=True, nullValue="NA", schema="k string, n int")
-    assert rows(back) == rows(one)
-    write_csv(two, text)
-    assert spark.read.csv(text, header=True).count() == 1
+    root = str(tmp_path / "out")
+    for _ in range(2):  # a new release replaces what readers see
+        publish({"one": one, "two": two}, root, fmt={"one": "csv"})
+    listed = {r["table_name"]: r for r in published(spark, root).collect()}
+    assert {(n, r["file_format"], r["n_rows"], r["release"]) for n, r in listed.items()} == {
+        ("one", "csv", 10, 2),
+        ("two", "parquet", 1, 2),
+    }
+    for name, df in (("one", one), ("two", two)):
+        back = read_published(spark, root, name)
+        assert back.schema.simpleString() == df.schema.simpleString()
+        assert rows(back) == rows(df)
+        assert listed[name]["checksum"] == fingerprint(df).first()["checksum"]
+
+
+def test_checksum_tells_rows_apart_and_not_their_order(spark):
+    one = spark.createDataFrame([("a", 1.5), ("b", None)], "k string, x double")
+    marks = [fingerprint(df).first()["checksum"] for df in (one, one.orderBy("x"), one.where("x = 1.5"), one.union(one))]
+    assert marks[0] == marks[1] and len({*marks}) == 3
+    assert tuple(fingerprint(one.where("false")).first()) == (0, 0)
+
+
+def test_a_release_may_be_made_from_the_one_before(spark, tmp_path):
+    root = str(tmp_path / "out")
+    publish({"t": spark.range(3).withColumnRenamed("id", "n")}, root)
+    publish({"t": read_published(spark, root, "t").selectExpr("n + 10 AS n")}, root)
+    assert rows(read_published(spark, root, "t")) == [(10,), (11,), (12,)]
+
+
+def test_a_release_that_broke_off_is_not_seen(spark, tmp_path):
+    root = str(tmp_path / "out")
+    good = spark.range(3).withColumnRenamed("id", "n")
+    with pytest.raises(ValueError):
+        published(spark, root)
+    publish({"a": good, "b": good}, root)
+    bad = good.selectExpr("CAST(raise_error('broken') AS BIGINT) AS n")
+    with pytest.raises(Exception, match="broken"):
+        publish({"a": good.where("n = 0"), "b": bad}, root)
+    assert read_published(spark, root, "a").count() == 3
+    with pytest.raises(ValueError):
+        read_published(spark, root, "c")
+
+
+def test_lines_are_written_and_read_in_order(spark, tmp_path):
+    path = str(tmp_path / "lines.txt")
+    data = spark.createDataFrame([(i, None if i % 5 == 0 else f"v{i}", "") for i in range(40)], "i int, v string, blank string")
+    write_lines(data.repartition(7), ["i"], path, columns=["i", "v", "blank"], header=["a.b", "v", "w"], files=3)
+    files = sorted((tmp_path / "lines.txt").glob("part-*"))
+    assert len(files) == 3
+    for f in files:
+        assert f.read_bytes().startswith(b"a.b\tv\tw\r\n") and f.read_bytes().endswith(b"\r\n")
+    assert header_names(spark, path) == ["a.b", "v", "w"]
+    read = read_text_table(spark, path, columns=["i", "v", "w"], file_order=True, na="NA").orderBy(*ORDER_COLUMNS)
+    assert [(int(r["i"]), r["v"], r["w"]) for r in read.collect()] == [
+        (i, None if i % 5 == 0 else f"v{i}", "") for i in range(40)
+    ]
+
+
+def test_missing_cells_of_arrays(spark, tmp_path):
+    path = tmp_path / "arrays.tab"
+    header = "\t".join(presets.ARRAY_COLUMNS)
+    path.write_bytes(f"{header}\r\nG_1 c1\tc1_1\tNA\t\r\n".encode())
+    row = read_arrays(spark, str(path)).first()
+    assert (row["AccessionID"], row["CRISPR"], row["Start"], row["End"]) == ("G_1 c1", None, "", "")
 
 
 def test_written_table_lies_in_the_shared_folder(spark):
