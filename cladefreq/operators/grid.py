@@ -17,8 +17,9 @@ from cladefreq.operators.ranks import numbered
 from cladefreq.sources.writers import written
 
 MEASURES = ("max_per_entity", "n_with", "n_total")
-FEATURES_PER_BUCKET = 512
-GROUPS_PER_PLACE = 1024
+#: Parts of the features that a group is filled up with one after the other, and copies of each part.
+FEATURE_BUCKETS = 64
+GROUP_PLACES = 32
 
 
 def _cells(counted: DataFrame, group: str, feature: str) -> DataFrame:
@@ -36,44 +37,38 @@ def dense_grid(
     feature: str,
     measures: Sequence[str] = MEASURES,
     *,
-    per_bucket: int = FEATURES_PER_BUCKET,
-    per_place: int = GROUPS_PER_PLACE,
+    buckets: int = FEATURE_BUCKETS,
+    places: int = GROUP_PLACES,
 ) -> DataFrame:
     """Fill the cells up to seen groups x seen features, absent ones with zero.
 
     The size of the result is given by the question; no row, task or broadcast
-    before it holds all features or all groups. Features are hashed into buckets
-    of about ``per_bucket``. Each group has one row per bucket, which folds its
-    cells of that bucket into an array and unfolds it again with a zero for
-    every feature of the bucket it lacks. The feature list of a bucket is copied
-    once per ``per_place`` groups, and each group meets one copy.
-
-    The lists and counts read all measures, which keeps their plans equal to the
-    cells' own: Spark then reuses their shuffle instead of repeating the work
-    behind it.
+    before it holds all features or all groups. Features are hashed into
+    ``buckets``. Each group has one row per bucket, which folds its cells of that
+    bucket into an array and unfolds it again with a zero for every feature of
+    the bucket it lacks. The feature list of a bucket has ``places`` copies, and
+    each group meets one of them.
+
+    The lists read all measures, which keeps their plans equal to the cells' own:
+    Spark then reuses their shuffle instead of repeating the work behind it.
     """
     held = reduce(Column.__and__, [F.col(f"_{m}") >= 0 for m in measures])
 
     def seen(key: str) -> DataFrame:
         return cells.groupBy(key).agg(*[F.sum(m).alias(f"_{m}") for m in measures]).where(held)
 
-    def count(key: str, per: int) -> Column:
-        n = seen(key).agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-        return F.greatest(F.lit(1), F.ceil(n / per)).cast("int")
-
-    buckets, places = count(feature, per_bucket), count(group, per_place)
     # Structs, because a bare null (a type without a feature) would be skipped.
-    bucket = F.pmod(F.xxhash64(F.struct(feature)), buckets).cast("int")
-    place = F.pmod(F.xxhash64(F.struct(group)), places).cast("int")
+    bucket = F.pmod(F.xxhash64(F.struct(feature)), F.lit(buckets)).cast("int")
+    place = F.pmod(F.xxhash64(F.struct(group)), F.lit(places)).cast("int")
     lists = seen(feature).withColumn("_bucket", bucket).groupBy("_bucket").agg(
         F.collect_list(F.struct(feature)).alias("_features")
     )
-    lists = lists.select("_bucket", "_features", F.explode(F.sequence(F.lit(0), places - 1)).alias("_place"))
+    lists = lists.select("_bucket", "_features", F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("_place"))
     own = F.struct(feature, *measures)
     filled = cells.select(group, bucket.alias("_bucket"), own.alias("_cell"))
     empty = seen(group).select(
         group,
-        F.explode(F.sequence(F.lit(0), buckets - 1)).alias("_bucket"),
+        F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_bucket"),
         F.lit(None).cast(filled.schema["_cell"].dataType).alias("_cell"),
     )
     folded = filled.unionByName(empty).groupBy(group, "_bucket").agg(F.collect_list("_cell").alias("_cells"))

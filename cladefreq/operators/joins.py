@@ -54,11 +54,14 @@ def salted_join(
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type: {how}")
-    total = counts.agg(F.sum("n").alias("n")).select("n").scalar()
-    limit = F.greatest(F.lit(task_rows).cast("double"), total / parts)
+    # One pass over the counts: their sum, and the few that may be beyond the limit.
+    large = F.when(F.col("n") > task_rows, F.struct(F.col(key).alias("k"), "n"))
+    found = counts.agg(F.sum("n").alias("total"), F.collect_list(large).alias("large"))
+    limit = F.greatest(F.lit(task_rows).cast("double"), F.col("total") / parts)
     hot = F.broadcast(
-        counts.select(F.col(key).alias("_hot_key"), F.ceil(F.col("n") / limit).cast("int").alias("_places"))
-        .where("_places > 1")
+        found.select(limit.alias("limit"), F.explode("large").alias("x"))
+        .where("x.n > limit")
+        .select(F.col("x.k").alias("_hot_key"), F.ceil(F.col("x.n") / F.col("limit")).cast("int").alias("_places"))
     )
     places = F.coalesce("_places", F.lit(1))
     # From row content, not rand(): a re-run task must place its rows alike.

@@ -8,10 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladefreq import presets
+from cladefreq.operators.grid import FEATURE_BUCKETS, GROUP_PLACES
 
-#: Features whose list is one row, and entities that meet one copy of it.
-FEATURES_PER_BUCKET = 512
-ENTITIES_PER_PLACE = 100_000
 GROUP_COLUMNS = ("group", "group_size", "subgroup", "subgroup_size")
 
 
@@ -173,27 +171,22 @@ def pruned_presence(
 ) -> DataFrame:
     """The pruned matrix in long form: entity, subgroup, feature, 0 or 1.
 
-    Entities times frequent features, as asked for. Each entity is copied to every
-    bucket of features, so no row holds all of them; the buckets have the lists.
+    Entities times frequent features, as asked for. Each entity has a row per
+    bucket of features with its own of that bucket, and meets the bucket's list.
     """
     kept = frequent_features(sets, min_feature_total)
-    buckets = F.greatest(
-        F.lit(1), F.ceil(kept.agg(F.count(F.lit(1)).alias("n")).select("n").scalar() / FEATURES_PER_BUCKET)
-    ).cast("int")
-    bucket = F.pmod(F.xxhash64("feature"), buckets).cast("int")
+    bucket = F.pmod(F.xxhash64("feature"), F.lit(FEATURE_BUCKETS)).cast("int")
     lists = kept.withColumn("_bucket", bucket).groupBy("_bucket").agg(F.collect_list("feature").alias("_list"))
-    places = F.greatest(
-        F.lit(1), F.ceil(sets.agg(F.count(F.lit(1)).alias("n")).select("n").scalar() / ENTITIES_PER_PLACE)
-    ).cast("int")
-    lists = lists.withColumn("_place", F.explode(F.sequence(F.lit(0), places - 1)))
+    lists = lists.withColumn("_place", F.explode(F.sequence(F.lit(0), F.lit(GROUP_PLACES - 1))))
     spread = sets.select(
         "entity_id",
         "subgroup",
-        "features",
-        F.pmod(F.xxhash64("entity_id"), places).cast("int").alias("_place"),
-        F.explode(F.sequence(F.lit(0), buckets - 1)).alias("_bucket"),
+        F.col("features").alias("_own"),
+        F.pmod(F.xxhash64("entity_id"), F.lit(GROUP_PLACES)).cast("int").alias("_place"),
+        F.explode(F.sequence(F.lit(0), F.lit(FEATURE_BUCKETS - 1))).alias("_bucket"),
     )
-    met = spread.join(lists, ["_bucket", "_place"])
+    in_bucket = F.filter("_own", lambda f: F.pmod(F.xxhash64(f), F.lit(FEATURE_BUCKETS)) == F.col("_bucket"))
+    met = spread.withColumn("features", in_bucket).drop("_own").join(lists, ["_bucket", "_place"])
     return met.select(
         "entity_id",
         "subgroup",

@@ -84,14 +84,14 @@ def test_more_features_than_a_wide_table_holds(spark):
     assert len(counts) == 40 and {(r["n"], r["p"]) for r in counts} == {(12_000, 12_000)}
 
 
-@pytest.mark.parametrize(("per_bucket", "per_place"), [(512, 1024), (1, 1), (3, 2)])
-def test_grid_in_buckets(spark, per_bucket, per_place):
+@pytest.mark.parametrize(("buckets", "places"), [(64, 32), (1, 1), (3, 2)])
+def test_grid_in_buckets(spark, buckets, places):
     draw = random.Random(3)
     groups = [None, "", *[f"g{i}" for i in range(9)]]
     features = [None, *[f"f{i}" for i in range(14)]]
     cells = {(draw.choice(groups), draw.choice(features)): draw.randint(1, 9) for _ in range(50)}
     frame = spark.createDataFrame([(g, f, n) for (g, f), n in cells.items()], "group string, feature string, n long")
-    found = grid.dense_grid(frame, "group", "feature", ["n"], per_bucket=per_bucket, per_place=per_place)
+    found = grid.dense_grid(frame, "group", "feature", ["n"], buckets=buckets, places=places)
     seen = [{g for g, _ in cells}, {f for _, f in cells}]
     expected = Counter((g, f, cells.get((g, f), 0)) for g in seen[0] for f in seen[1])
     assert Counter(tuple(r) for r in found.select("group", "feature", "n").collect()) == expected
@@ -102,7 +102,7 @@ def test_no_array_holds_all_features(spark):
     cells = spark.range(3000).select(
         (F.col("id") % 3).cast("string").alias("group"), F.col("id").cast("string").alias("feature"), F.lit(1).cast("long").alias("n")
     )
-    found = grid.dense_grid(cells, "group", "feature", ["n"], per_bucket=100)
+    found = grid.dense_grid(cells, "group", "feature", ["n"], buckets=30)
     assert found.count() == 9000 and found.where("n = 1").count() == 3000
     lists = cells.groupBy(F.pmod(F.xxhash64(F.struct("feature")), F.lit(30))).agg(F.collect_list("feature").alias("l"))
     assert lists.agg(F.max(F.size("l"))).first()[0] < 200
