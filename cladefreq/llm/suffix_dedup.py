@@ -1,14 +1,26 @@
 """Suffix-array dedup: bytes of passages that an earlier document holds too, found by deep-shallow suffix sorting.
 
 Every string of `length` bytes (a window) is named by the least hash of its short grams, so equal windows have equal names
-wherever they stand. A run of windows of one name is a segment. Segments of a name meet in one task, one row per distinct
-segment and batch of documents, so a passage of millions of documents sends a row per batch. There the windows' suffixes
-are sorted: multikey quicksort over eight-byte characters to a shallow depth, then blind tries for the groups that still
-agree. Windows that stay together to the full depth are equal, and each learns the smallest document id among them. That
-goes back to the documents by joins, those of frequent segments spread over copies in proportion to their counts.
-
-Equal texts are searched once. Null texts count as empty; a text shorter than `length` loses nothing. Rows that share an id
-do not remove from each other; a null id counts as larger than all others. An empty table gives no rows. Extra columns stay.
+wherever they stand. A run of windows of one name is a segment. The documents are stored in batches, and three rounds
+pass between batches and buckets of names:
+
+1. Each batch sends the names of its segments, nothing else; a bucket answers with two bits per name: whether another
+   document has it, and whether it is crowded, with more than CROWDED segments.
+2. Each batch sends the bytes of its distinct segments of shared names, and where they stand. Of a crowded name it sends
+   every distinct window by itself, to the bucket of its own hash, so no task meets a name's unlike contexts together.
+   A bucket sorts the suffixes that begin in its segments: multikey quicksort over eight-byte characters to a shallow
+   depth, then a blind trie for each group that still agrees. Windows that stay together to the full depth are equal, and
+   each learns the smallest document id among them. The bucket answers with the spans to remove.
+3. Each batch cuts its documents.
+
+What travels are blobs of numbers and bytes, at least a hundred names each: the sizes of batches and buckets both grow
+with the square root of the input, from 4 MB to 450 MB at 100 TB. Batches are rows of a stored table, so a lost executor
+costs the tasks it ran.
+
+Segments are told apart by 64-bit hashes and compared byte by byte before two count as one; names only decide where
+windows meet. Null texts count as empty; a text shorter than `length` loses nothing. Rows that share an id do not remove
+from each other; a null id counts as larger than all others. An empty table gives no rows. Extra columns stay, except
+that ones called n_bytes, n_removed, n_spans, kept or kept_text are replaced.
 """
 
 from __future__ import annotations
@@ -17,24 +29,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cladefreq.llm.bagminhash import BASE, BYTE_VALUES, INVERSE, mix
 from cladefreq.llm.common import stored
-from cladefreq.operators.joins import first_per_key, hot_key_join
 
 #: Bytes of the grams that name a window.
-GRAM = 12
+GRAM = 16
 SHALLOW = 16
-#: Bytes of text whose segments are found together; a longer text is alone.
-GROUP_BYTES = 1 << 24
-#: Suffixes sorted together; a name with more is alone.
+#: Least bytes of text in a batch or bucket, and bytes per name and document on which their growth rests.
+BATCH_BYTES, PER_BLOB = 1 << 22, 2_000
+#: Windows of a segment; a longer run of one name is cut.
+SEGMENT_WINDOWS = 1 << 10
+#: Segments of a name in all documents before its windows are dealt out one by one.
+CROWDED = 1 << 16
+#: Windows sorted together, but for those of one name.
 SORTED = 1 << 20
+NAME_BYTES = 6
 LAST = (1 << 63) - 1
-#: A segment is frequent from this share of all on, so the list of them is at most so long.
-FREQUENT = 2_000
+ADDED = ("n_bytes", "n_removed", "n_spans", "kept", "kept_text")
 
 
 def _words(data: np.ndarray, big: bool = False) -> np.ndarray:
@@ -47,18 +63,37 @@ def _words(data: np.ndarray, big: bool = False) -> np.ndarray:
     return out
 
 
+class Hashes:
+    """Hashes of any stretch of bytes, by differences of running sums."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        powers = np.full(len(data) + 1, BASE, np.uint64)
+        powers[0] = 1
+        self.running = np.r_[np.uint64(0), np.cumsum(BYTE_VALUES[data] * np.cumprod(powers[:-1]))]
+        powers[1:] = INVERSE
+        self.back = np.cumprod(powers)
+
+    def __call__(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        sums = self.running[starts + sizes] - self.running[starts]
+        return mix(sums * self.back[starts] + sizes.astype(np.uint64))
+
+
 def segments(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes, and per segment its text, start among all bytes, number of windows, name and digest; also texts' offsets."""
+    """All bytes, and per segment its text, start among all bytes, number of windows and name; also texts' offsets."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     offsets = np.cumsum(sizes) - sizes
     none = np.zeros(0, np.int64)
     n = len(data) - length + 1
     if n <= 0:
-        return data, none, none, none, none, none, offsets
-    words = _words(data)
-    grams = mix(words[: -(GRAM - 8)] * BASE + words[GRAM - 8 :])
-    span, have = length - GRAM + 1, 1
+        return data, none, none, none, none.astype(np.uint64), offsets
+    gram = min(GRAM, length)
+    if gram >= 8:
+        words = _words(data)
+        grams = mix(words[: len(words) - (gram - 8)] * BASE + words[gram - 8 :])
+    else:
+        grams = Hashes(data)(np.arange(len(data) - gram + 1), np.full(len(data) - gram + 1, gram))
+    span, have = length - gram + 1, 1
     while have * 2 <= span:
         grams = np.minimum(grams[:-have], grams[have:])
         have *= 2
@@ -71,23 +106,111 @@ def segments(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
     np.add.at(inside, (offsets + sizes - length + 1)[long], -1)
     inside = np.cumsum(inside)[:n] > 0
     # A run ends where the name changes, where the text ends or where its windows do.
-    last[0] = True
+    last[0] = last[n] = True
     last[1:n] = (names[1:] != names[:-1]) | (inside[1:] != inside[:-1])
     begins = offsets[long]
     last[begins[begins < n]] = True
-    last[n] = True
     edges = np.flatnonzero(last)
+    pieces = -(-np.diff(edges) // SEGMENT_WINDOWS)
+    if len(pieces) and pieces.max() > 1:
+        first = np.cumsum(pieces) - pieces
+        within = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+        edges = np.r_[np.repeat(edges[:-1], pieces) + within * SEGMENT_WINDOWS, n]
     starts, counts = edges[:-1], np.diff(edges)
     keep = inside[starts]
     starts, counts = starts[keep], counts[keep]
     of = np.searchsorted(offsets, starts, side="right") - 1
-    powers = np.full(len(data) + 1, BASE, np.uint64)
-    powers[0] = 1
-    running = np.r_[np.uint64(0), np.cumsum(BYTE_VALUES[data] * np.cumprod(powers[:-1]))]
-    powers[1:] = INVERSE
-    ends = starts + counts + length - 1
-    digests = mix((running[ends] - running[starts]) * np.cumprod(powers)[starts] + (ends - starts).astype(np.uint64))
-    return data, of, starts, counts, names[starts].view(np.int64), digests.view(np.int64), offsets
+    return data, of, starts, counts, names[starts], offsets
+
+
+class BlindTrie:
+    """Strings of one length in order: inner nodes hold the place where their children part, leaves the members of a class."""
+
+    def __init__(self) -> None:
+        self.root: list | None = None
+
+    def insert(self, text: bytes, member: int) -> None:
+        """An inner node is [place, children by byte]; a leaf is [None, text, members]."""
+        if self.root is None:
+            self.root = [None, text, [member]]
+            return
+        # Blindly down to a leaf: only the bytes where paths part are looked at.
+        node = self.root
+        while node[0] is not None:
+            node = node[1].get(text[node[0]]) or next(iter(node[1].values()))
+        if node[1] == text:
+            node[2].append(member)
+            return
+        apart = int.from_bytes(node[1], "big") ^ int.from_bytes(text, "big")
+        place = len(text) - 1 - (apart.bit_length() - 1) // 8
+        byte_there = node[1][place]
+        # Down again to where the string parts from all that is there.
+        parent, key, node = None, 0, self.root
+        while node[0] is not None and node[0] < place:
+            parent, key = node, text[node[0]]
+            node = node[1][key]
+        leaf = [None, text, [member]]
+        if node[0] == place:
+            node[1][text[place]] = leaf
+            return
+        inner = [place, {byte_there: node, text[place]: leaf}]
+        if parent is None:
+            self.root = inner
+        else:
+            parent[1][key] = inner
+
+    def classes(self) -> Iterator[list[int]]:
+        """Members of each leaf, in the order of the strings."""
+        stack = [self.root] if self.root is not None else []
+        while stack:
+            node = stack.pop()
+            if node[0] is None:
+                yield node[2]
+            else:
+                stack.extend(node[1][k] for k in sorted(node[1], reverse=True))
+
+
+def _quicksort(words: np.ndarray, starts: np.ndarray, order: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
+    """Multikey quicksort of all groups at once over the first `depth` eight-byte characters; changes `order` and `group`
+    and returns the places of groups that agree in all of them."""
+    n = len(order)
+    at = np.zeros(n, np.int64)  # character that a group is compared by, at its first place
+    open_ = np.arange(n) if n > 1 else np.zeros(0, np.int64)
+    deep = []
+    while len(open_):
+        own = group[open_]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        size = np.diff(np.r_[first, len(open_)])
+        which = np.repeat(np.arange(len(first)), size)
+        begin = own[first]
+        chars = words[starts[order[open_]] + 8 * at[own]]
+        three = np.sort([chars[first], chars[first + size // 2], chars[first + size - 1]], axis=0)
+        pivot = three[1][which]
+        less, more = chars < pivot, chars > pivot
+        same = ~(less | more)
+        counts = [np.add.reduceat(m, first, dtype=np.int64) for m in (less, same, more)]
+        base = [begin, begin + counts[0], begin + counts[0] + counts[1]]
+        to, new = np.empty(len(open_), np.int64), np.empty(len(open_), np.int64)
+        for mask, count, lowest in zip((less, same, more), counts, base, strict=True):
+            rank = np.cumsum(mask)
+            before = np.cumsum(count) - count
+            to[mask] = (rank - 1 - before[which] + lowest[which])[mask]
+            new[mask] = lowest[which][mask]
+        members = order[open_]
+        next_at = at[own]
+        order[to], group[to] = members, new
+        # Depth stays with the smaller and larger ones; equal ones go on to the next character.
+        at[base[0][counts[0] > 0]] = next_at[first][counts[0] > 0]
+        at[base[2][counts[2] > 0]] = next_at[first][counts[2] > 0]
+        equal = counts[1] > 0
+        at[base[1][equal]] = next_at[first][equal] + 1
+        alone = np.zeros(len(open_), bool)
+        for mask, count in zip((less, same, more), counts, strict=True):
+            alone |= mask & (count[which] == 1)
+        done = same & ~alone & (next_at + 1 >= depth)
+        deep.append(to[done])
+        open_ = np.sort(to[~alone & ~done])
+    return np.sort(np.concatenate(deep)) if deep else np.zeros(0, np.int64)
 
 
 def sort_suffixes(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,42 +218,20 @@ def sort_suffixes(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.
     of equal ones begins. `data` goes on for `depth` bytes from each start."""
     n = len(starts)
     order, group = np.arange(n), np.zeros(n, np.int64)
-    open_ = np.arange(n) if n > 1 else np.zeros(0, np.int64)
-    words = _words(data, big=True)
-
-    def refine(places: np.ndarray, keys: tuple[np.ndarray, ...]) -> np.ndarray:
-        """Reorder groups at `places` by `keys`, last first; start new groups where they change; places in groups of two or more."""
-        by = np.lexsort((*keys, group[places]))
-        order[places] = order[places[by]]
-        new = np.r_[True, np.diff(group[places[by]]) != 0]
-        for key in keys:
-            new[1:] |= key[by][1:] != key[by][:-1]
-        begin = np.flatnonzero(new)
-        size = np.diff(np.r_[begin, len(places)])
-        group[places] = np.repeat(places[begin], size)
-        return np.repeat(size > 1, size)
-
     shallow = min(SHALLOW, depth // 8 * 8)
-    for at in range(0, shallow, 8):
-        if len(open_):
-            open_ = open_[refine(open_, (words[starts[order[open_]] + at],))]
-    rest = np.arange(shallow, depth)
-    # Blind tries: the first of each group is a path; the others hang off it where they part from it.
-    while len(open_) and len(rest):
-        leader = order[group[open_]]
-        own = data[starts[order[open_]][:, None] + rest]
-        path = data[starts[leader][:, None] + rest]
-        apart = own != path
-        parts = apart.any(1)
-        where = np.where(parts, apart.argmax(1), len(rest))
-        at = np.minimum(where, len(rest) - 1)
-        row = np.arange(len(open_))
-        byte = np.where(parts, own[row, at], 0).astype(np.int64)
-        side = np.where(parts, np.where(byte < path[row, at], -1, 1), 0)
-        closed = np.zeros(n, bool)
-        closed[order[open_[~parts]]] = True
-        again = refine(open_, (byte, np.where(side < 0, where, -where), side))
-        open_ = open_[again & ~closed[order[open_]]]
+    if n < 2:
+        return order, group
+    rest = _quicksort(_words(data, big=True), starts, order, group, shallow // 8) if shallow else np.arange(n)
+    raw, edges = data.tobytes(), np.flatnonzero(np.r_[True, np.diff(group[rest]) != 0]) if len(rest) else []
+    for a, b in zip(edges, np.r_[edges[1:], len(rest)].tolist() if len(rest) else [], strict=True):
+        trie, place = BlindTrie(), int(rest[a])
+        members = order[place : place + b - a].tolist()
+        for member, start in zip(members, starts[members].tolist(), strict=True):
+            trie.insert(raw[start + shallow : start + depth], member)
+        for own in trie.classes():
+            order[place : place + len(own)] = own
+            group[place : place + len(own)] = place
+            place += len(own)
     return order, group
 
 
@@ -140,198 +241,320 @@ def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np
     return data[np.repeat(starts - first, sizes) + np.arange(int(sizes.sum()))], first
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """ids, smallest document ids and texts of rows (rid, low, text), GROUP_BYTES at a time."""
-    held: list[tuple[int, int, bytes]] = []
-    size = 0
-    for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            if held and size + len(row[2]) > GROUP_BYTES:
-                yield np.array([r[0] for r in held]), np.array([r[1] for r in held]), [r[2] for r in held]
-                held, size = [], 0
-            held.append(row)
-            size += len(row[2])
-    if held:
-        yield np.array([r[0] for r in held]), np.array([r[1] for r in held]), [r[2] for r in held]
-
-
-def _distinct(texts: DataFrame, length: int) -> DataFrame:
-    """Distinct segments of each batch: name, digest, how many, least and greatest document id, bytes."""
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, lows, bodies in _batches(batches):
-            data, of, starts, counts, names, digests, _ = segments(bodies, length)
-            if not len(of):
-                continue
-            order = np.lexsort((digests, names))
-            new = np.flatnonzero(np.r_[True, (np.diff(names[order]) != 0) | (np.diff(digests[order]) != 0)])
-            low, size = lows[of[order]], np.diff(np.r_[new, len(order)])
-            head = order[new]
-            least, most = np.minimum.reduceat(low, new), np.maximum.reduceat(low, new)
-            for k in range(0, len(head), 50_000):
-                own = slice(k, k + 50_000)
-                lengths = counts[head[own]] + length - 1
-                body, first = _gather(data, starts[head[own]], lengths)
-                ends = np.r_[first, len(body)].astype(np.int32)
-                blob = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(body)])
-                columns = [pa.array(x[own]) for x in (names[head], digests[head], size, least, most)]
-                yield pa.RecordBatch.from_arrays([*columns, blob], ["name", "digest", "n", "low", "high", "body"])
-
-    return texts.mapInArrow(found, "name long, digest long, n long, low long, high long, body binary")
-
-
-def _occurrences(texts: DataFrame, length: int) -> DataFrame:
-    """Every segment of every text: name, digest, rid, low, start in its text."""
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rids, lows, bodies in _batches(batches):
-            _, of, starts, _, names, digests, offsets = segments(bodies, length)
-            for k in range(0, len(of), 100_000):
-                own = slice(k, k + 100_000)
-                columns = (names[own], digests[own], rids[of[own]], lows[of[own]], starts[own] - offsets[of[own]])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["name", "digest", "rid", "low", "start"])
-
-    return texts.mapInArrow(found, "name long, digest long, rid long, low long, start long")
-
-
-def _resolve(rows: list[tuple], length: int) -> Iterator[tuple]:
-    """Of whole names, the segments with a window that a smaller document holds: name, digest, n, and runs of windows
-    (at, windows, owner) with the smallest document that holds them."""
-    merged: dict[tuple[int, int], list] = {}
-    for name, digest, n, low, high, body in rows:
-        have = merged.get((name, digest))
-        if have is None:
-            merged[name, digest] = [n, low, high, body]
-        else:
-            have[0] += n
-            have[1], have[2] = min(have[1], low), max(have[2], high)
-    keys = list(merged)
-    names = np.array([k[0] for k in keys])
-    low = np.array([merged[k][1] for k in keys])
-    high = np.array([merged[k][2] for k in keys])
-    _, inverse, members = np.unique(names, return_inverse=True, return_counts=True)
-    least, most = np.full(len(members), LAST), np.full(len(members), -LAST - 1)
-    np.minimum.at(least, inverse, low)
-    np.maximum.at(most, inverse, high)
-    # A name of one document, or of one segment, needs no sorting.
-    many = np.flatnonzero((members[inverse] > 1) & (least < most)[inverse])
-    for i in np.flatnonzero((members[inverse] == 1) & (low < high)).tolist():
-        n, own, _, body = merged[keys[i]]
-        yield (*keys[i], n, [0], [len(body) - length + 1], [own])
-    if not len(many):
-        return
-    bodies = [merged[keys[i]][3] for i in many.tolist()]
-    sizes = np.array([len(b) for b in bodies], np.int64)
-    data = np.frombuffer(b"".join(bodies), np.uint8)
-    windows = sizes - length + 1
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> bool:
+    return bool(np.array_equal(_gather(data, a, sizes)[0], _gather(data, b, sizes)[0]))
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each class of equal stretches, and the class of each."""
+    _, first, inverse = np.unique(digests, return_index=True, return_inverse=True)
+    head = first[inverse]
+    other = np.flatnonzero(head != np.arange(len(starts)))
+    if np.array_equal(sizes[head[other]], sizes[other]) and _equal(data, starts[head[other]], starts[other], sizes[other]):
+        return first, inverse
+    # Two unlike stretches have one hash: go by the bytes themselves.
+    raw, seen = data.tobytes(), {}
+    inverse = np.array([seen.setdefault(raw[s : s + n], len(seen)) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
+    return np.unique(inverse, return_index=True)[1], inverse
+
+
+def _runs(body: bytes, sizes: np.ndarray, names: np.ndarray, of: np.ndarray, low: np.ndarray, length: int):
+    """Smallest document of every window of the distinct segments among those given: per given segment its class, and per
+    class its first window, number of windows, and the windows' owners. `of` and `low`: segment and document of each place."""
+    data = np.frombuffer(body, np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    heads, classes = distinct(data, starts, sizes, Hashes(data)(starts, sizes))
+    least = np.full(len(heads), LAST)
+    np.minimum.at(least, classes[of], low)
+    windows = sizes[heads] - length + 1
     first = np.cumsum(windows) - windows
-    starts = np.repeat(np.cumsum(sizes) - sizes - first, windows) + np.arange(int(windows.sum()))
-    order, group = sort_suffixes(data, starts, length)
-    head = np.flatnonzero(np.r_[True, np.diff(group) != 0])
-    smallest = np.minimum.reduceat(np.repeat(low[many], windows)[order], head)
-    owner = np.empty(len(starts), np.int64)
-    owner[order] = np.repeat(smallest, np.diff(np.r_[head, len(order)]))
-    wanted = np.flatnonzero(np.minimum.reduceat(owner, first) < high[many])
-    for j in wanted.tolist():
-        own = owner[first[j] : first[j] + windows[j]]
-        at = np.flatnonzero(np.r_[True, np.diff(own) != 0])
-        yield (*keys[many[j]], merged[keys[many[j]]][0], at.tolist(), np.diff(np.r_[at, len(own)]).tolist(), own[at].tolist())
-
-
-def _shared(distinct: DataFrame, length: int) -> DataFrame:
-    """Segments with windows that several documents hold."""
-    schema = "name long, digest long, n long, at array<long>, windows array<long>, owner array<long>"
-    types = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
-    names = ["name", "digest", "n", "at", "windows", "owner"]
-
-    def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            found = list(_resolve(rows, length))
-            for k in range(0, len(found), 20_000):
-                columns = zip(*found[k : k + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-        held: list[tuple] = []
-        size = 0
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= SORTED and row[0] != held[-1][0]:
-                    yield from out(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[5]) - length + 1
-        if held:
-            yield from out(held)
-
-    return distinct.repartition("name").sortWithinPartitions("name").mapInArrow(resolved, schema)
-
-
-def _joined(found: DataFrame, shared: DataFrame) -> DataFrame:
-    """Occurrences of shared segments. Those of a frequent one are spread over copies in proportion to its count."""
-    total = shared.agg(F.sum("n")).first()[0] or 0
-    limit = max(10_000, total // FREQUENT)
-    hot = shared.where(F.col("n") > limit).select("name", "digest", F.ceil(F.col("n") / limit).alias("copies"))
-    copies = F.coalesce(F.ceil(F.col("n") / limit), F.lit(1))
-    right = shared.withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > limit, copies).otherwise(1).cast("int") - 1)))
-    left = found.join(F.broadcast(hot), ["name", "digest"], "left")
-    left = left.withColumn("copy", F.coalesce(F.pmod(F.xxhash64("rid", "start"), "copies"), F.lit(0)).cast("int"))
-    return left.join(right, ["name", "digest", "copy"])
+    owner = np.repeat(least, windows)
+    _, name_of, members = np.unique(names[heads], return_inverse=True, return_counts=True)
+    # The windows of a name with a single segment are met nowhere else.
+    many = np.flatnonzero(members[name_of] > 1)
+    many = many[np.argsort(name_of[many], kind="stable")]
+    total = np.cumsum(windows[many])
+    a = 0
+    while a < len(many):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + SORTED, side="right")))
+        while b < len(many) and name_of[many[b]] == name_of[many[b - 1]]:
+            b += 1
+        own = many[a:b]
+        count = windows[own]
+        shift = np.cumsum(count) - count
+        inside = np.arange(int(count.sum())) - np.repeat(shift, count)
+        at = np.repeat(first[own], count) + inside
+        order, group = sort_suffixes(data, np.repeat(starts[heads[own]], count) + inside, length)
+        head = np.flatnonzero(np.r_[True, np.diff(group) != 0])
+        smallest = np.minimum.reduceat(owner[at][order], head)
+        owner[at[order]] = np.repeat(smallest, np.diff(np.r_[head, len(order)]))
+        a = b
+    return classes, first, windows, owner
+
+
+class Batch:
+    """Documents of one batch, as the bytes of an Arrow stream; equal batches give equal segments whenever they are read."""
+
+    def __init__(self, rows: bytes, id_col: str, text_col: str, length: int) -> None:
+        self.rows = pa.ipc.open_stream(rows).read_all().combine_chunks()
+        self.texts = [(t or "").encode() for t in self.rows[text_col].to_pylist()]
+        self.lows = self.rows[id_col].cast(pa.int64()).fill_null(LAST).to_numpy()
+        self.length = length
+
+    def cut(self) -> None:
+        self.data, self.of, self.starts, self.counts, self.names, self.offsets = segments(self.texts, self.length)
+
+    def named(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct names, how many segments have each, whether two documents do, and the name of each segment."""
+        order = np.argsort(self.names, kind="stable")
+        names, lows = self.names[order], self.lows[self.of[order]]
+        new = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else np.zeros(0, np.int64)
+        count = np.diff(np.r_[new, len(names)])
+        inverse = np.empty(len(names), np.int64)
+        inverse[order] = np.repeat(np.arange(len(new)), count)
+        if not len(new):
+            return names, count, np.zeros(0, bool), inverse
+        return names[new], count, np.minimum.reduceat(lows, new) < np.maximum.reduceat(lows, new), inverse
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _table(columns: dict[str, list], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.table({n: pa.array(columns[n], kinds[t]) for n, t in (c.split() for c in schema.split(", "))})
+
+
+def _split(of: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Members of each bucket that has any, in order."""
+    order = np.argsort(of, kind="stable")
+    ends = np.searchsorted(of[order], np.arange(1, buckets + 1)).tolist()
+    for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
+        if b > a:
+            yield k, order[a:b]
+
+
+NAMES = "bucket int, batch long, names binary, counts binary, twice binary"
+FLAGS = "batch long, bucket int, flags binary"
+PARTS = "bucket int, batch long, sizes binary, names binary, body binary, of binary, low binary, row binary, start binary"
+SPANS = "batch long, row binary, a binary, b binary"
+
+
+def _send_names(batch: int, own: Batch, buckets: int) -> pa.Table:
+    own.cut()
+    names, counts, twice, _ = own.named()
+    out = {c.split()[0]: [] for c in NAMES.split(", ")}
+    for k, at in _split(_bucket(names, buckets), buckets):
+        out["bucket"].append(k)
+        out["batch"].append(batch)
+        out["names"].append(np.ascontiguousarray(names[at].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES]).tobytes())
+        out["counts"].append(np.minimum(counts[at], 0xFFFF).astype("<u2").tobytes())
+        out["twice"].append(np.packbits(twice[at]).tobytes())
+    return _table(out, NAMES)
+
+
+def _answer_names(rows: pa.Table) -> pa.Table:
+    """Two bits per name that a batch sent: shared, crowded."""
+    blobs = [np.frombuffer(b, np.uint8).reshape(-1, NAME_BYTES) for b in rows["names"].to_pylist()]
+    sizes = [len(b) for b in blobs]
+    wide = np.zeros((sum(sizes), 8), np.uint8)
+    wide[:, :NAME_BYTES] = np.concatenate(blobs)
+    counts = np.concatenate([np.frombuffer(b, "<u2") for b in rows["counts"].to_pylist()]).astype(np.int64)
+    twice = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(rows["twice"].to_pylist(), sizes, strict=True)])
+    _, inverse, batches = np.unique(wide.view(">u8").ravel(), return_inverse=True, return_counts=True)
+    shared = (batches > 1) | (np.bincount(inverse, twice, len(batches)) > 0)
+    crowded = np.bincount(inverse, counts, len(batches)) > CROWDED
+    bits = np.stack([shared[inverse], (shared & crowded)[inverse]])
+    ends = np.cumsum(sizes).tolist()
+    flags = [np.packbits(bits[:, a:b].ravel()).tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+    return _table({"batch": rows["batch"].to_pylist(), "bucket": rows["bucket"].to_pylist(), "flags": flags}, FLAGS)
+
+
+def _send_parts(batch: int, own: Batch, flags: dict[int, bytes], buckets: int) -> pa.Table:
+    own.cut()
+    names, _, _, inverse = own.named()
+    shared, crowded = np.zeros(len(names), bool), np.zeros(len(names), bool)
+    for k, at in _split(_bucket(names, buckets), buckets):
+        bits = np.unpackbits(np.frombuffer(flags[k], np.uint8), count=2 * len(at)).reshape(2, -1)
+        shared[at], crowded[at] = bits[0], bits[1]
+    shared, crowded = shared[inverse], crowded[inverse]
+    whole, apart = np.flatnonzero(shared & ~crowded), np.flatnonzero(crowded)
+    hashes = Hashes(own.data) if len(whole) + len(apart) else None
+    count = own.counts[apart]
+    shift = np.cumsum(count) - count
+    inside = np.arange(int(count.sum())) - np.repeat(shift, count)
+    # Segments of shared names, then the windows of crowded ones.
+    starts = np.r_[own.starts[whole], np.repeat(own.starts[apart], count) + inside]
+    sizes = np.r_[own.counts[whole] + own.length - 1, np.full(len(inside), own.length)]
+    of = np.r_[own.of[whole], np.repeat(own.of[apart], count)]
+    if not len(starts):
+        return _table({c.split()[0]: [] for c in PARTS.split(", ")}, PARTS)
+    digests = hashes(starts, sizes)
+    heads, classes = distinct(own.data, starts, sizes, digests)
+    keys = digests[heads].copy()
+    is_whole = heads < len(whole)
+    keys[is_whole] = own.names[whole[heads[is_whole]]]
+    # Places by class, so that those of a class are a stretch.
+    by = np.argsort(classes, kind="stable")
+    ends = np.cumsum(np.bincount(classes, minlength=len(heads)))
+    out = {c.split()[0]: [] for c in PARTS.split(", ")}
+    for k, at in _split(_bucket(keys, buckets), buckets):
+        size = sizes[heads[at]]
+        n = np.diff(np.r_[0, ends])[at]
+        places = by[np.repeat(ends[at] - n - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        out["bucket"].append(k)
+        out["batch"].append(batch)
+        out["sizes"].append(size.astype("<u4").tobytes())
+        out["names"].append((keys[at] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())
+        out["body"].append(_gather(own.data, starts[heads[at]], size)[0].tobytes())
+        out["of"].append(n.astype("<u4").tobytes())
+        out["low"].append(own.lows[of[places]].astype("<i8").tobytes())
+        out["row"].append(of[places].astype("<u4").tobytes())
+        out["start"].append((starts[places] - own.offsets[of[places]]).astype("<u8").tobytes())
+    return _table(out, PARTS)
+
+
+def _answer_parts(rows: pa.Table, length: int) -> pa.Table:
+    """Spans of documents, as row of the batch, begin and end, that a smaller document's windows cover."""
+
+    def joined(name: str, kind: str) -> np.ndarray:
+        return np.concatenate([np.frombuffer(b, kind) for b in rows[name].to_pylist()]).astype(np.int64)
+
+    sizes, names, n = joined("sizes", "<u4"), joined("names", "<u4"), joined("of", "<u4")
+    low, row, start = joined("low", "<i8"), joined("row", "<u4"), joined("start", "<u8")
+    of = np.repeat(np.arange(len(n)), n)
+    classes, first, windows, owner = _runs(b"".join(rows["body"].to_pylist()), sizes, names, of, low, length)
+    own = classes[of]
+    # Only places whose document isn't the smallest for every window; their windows that are owned below them.
+    worth = np.flatnonzero(np.minimum.reduceat(owner, first)[own] < low) if len(first) else np.zeros(0, np.int64)
+    batch_of = np.repeat(np.arange(rows.num_rows), [len(b) // 4 for b in rows["row"].to_pylist()])
+    spans: list[tuple] = []
+    for a in range(0, len(worth), 1 << 16):
+        some = worth[a : a + (1 << 16)]
+        count = windows[own[some]]
+        shift = np.cumsum(count) - count
+        inside = np.arange(int(count.sum())) - np.repeat(shift, count)
+        hit = owner[np.repeat(first[own[some]], count) + inside] < np.repeat(low[some], count)
+        edge = np.diff(np.r_[False, hit, False].astype(np.int8))
+        # A run of hits ends with its place.
+        fresh = np.r_[np.isin(np.arange(len(hit)), shift), True]
+        begin = np.flatnonzero(((edge == 1) | fresh)[:-1] & hit)
+        end = np.flatnonzero(np.r_[hit, False][:-1] & ((edge[1:] == -1) | fresh[1:])) + 1
+        place = np.repeat(np.arange(len(some)), count)[begin]
+        where = start[some][place]
+        spans.append((batch_of[some[place]], row[some[place]], where + inside[begin], where + inside[end - 1] + length))
+    if not spans:
+        return _table({c.split()[0]: [] for c in SPANS.split(", ")}, SPANS)
+    which, row, a, b = (np.concatenate(c) for c in zip(*spans, strict=True))
+    batches, out = rows["batch"].to_pylist(), {c.split()[0]: [] for c in SPANS.split(", ")}
+    for k, at in _split(which, rows.num_rows):
+        at = at[np.lexsort((a[at], row[at]))]
+        out["batch"].append(batches[k])
+        out["row"].append(row[at].astype("<u4").tobytes())
+        out["a"].append(a[at].astype("<u8").tobytes())
+        out["b"].append(b[at].astype("<u8").tobytes())
+    return _table(out, SPANS)
+
+
+def _remove(own: Batch, spans: pa.Table, columns: list[str]) -> tuple[list, list[bytes]]:
+    """The batch's rows with what is left of their texts."""
+
+    def joined(name: str, kind: str) -> np.ndarray:
+        return np.concatenate([np.frombuffer(b, kind) for b in spans[name].to_pylist()] or [np.zeros(0, kind)]).astype(np.int64)
+
+    row, a, b = joined("row", "<u4"), joined("a", "<u8"), joined("b", "<u8")
+    of = {k: at for k, at in _split(row, len(own.texts))}
+    numbers, kept = [], []
+    for k, raw in enumerate(own.texts):
+        at = of.get(k)
+        if at is None:
+            numbers.append((len(raw), 0, 0))
+            kept.append(raw)
+            continue
+        gone = np.zeros(len(raw) + 1, np.int64)
+        np.add.at(gone, a[at], 1)
+        np.add.at(gone, b[at], -1)
+        gone = np.cumsum(gone)[:-1] > 0
+        edges = int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1))
+        numbers.append((len(raw), int(gone.sum()), edges))
+        kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
+    columns_ = [own.rows[c] for c in columns]
+    columns_ += [pa.array([x[j] for x in numbers], pa.int64()) for j in range(3)]
+    return columns_, kept
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with n_bytes, n_removed, n_spans, `kept` (the remaining bytes) and `kept_text` (these as text without broken
     characters; null where the text is)."""
-    plain = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "kept_text", "_low", "_digest", "_rid", "_least", "_spans")
-    bytes_ = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = plain.withColumn("_low", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn("_digest", F.unhex(F.md5(bytes_)))
-    long = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) >= length
-    groups = rows.where(long).groupBy("_digest").agg(F.min("_low").alias("_least"))
-    groups = stored(groups.withColumn("_rid", F.monotonically_increasing_id()), "suffix-groups")
-    named = hot_key_join(rows, groups, "_digest", how="left", spread=["_low"], counted=rows.where(long))
-    named = stored(named.drop("_digest"), "suffix-rows")
-    own = named.where(F.col("_low") == F.col("_least"))
-    one = first_per_key(own.select("_rid", "_low", bytes_.alias("body")), ["_rid"], [F.col("_low")])
-    texts = one.select("_rid", "_low", "body")
-    shared = stored(_shared(_distinct(texts, length), length), "suffix-shared")
-    met = _joined(_occurrences(texts, length), shared)
-    runs = met.select("rid", "low", "start", F.explode(F.arrays_zip("at", "windows", "owner")).alias("r")).where("r.owner < low")
-    begin = F.col("start") + F.col("r.at")
-    spans = runs.groupBy("rid").agg(F.collect_list(F.struct(begin.alias("a"), (begin + F.col("r.windows") + (length - 1)).alias("b"))).alias("s"))
-    spans = spans.select(F.col("rid").alias("_rid"), F.col("s.a").alias("_a"), F.col("s.b").alias("_b"))
-    firsts = named.where("_low <= _least").join(spans, "_rid", "left")
-    others = named.where("_low > _least or _rid is null").withColumns({c: F.lit(None).cast("array<long>") for c in ("_a", "_b")})
-    return _cut(firsts.unionByName(others), plain, text_col)
-
-
-def _cut(rows: DataFrame, plain: DataFrame, text_col: str) -> DataFrame:
-    """Take the spans (_a, _b) out of each text; all of it where the text is a copy of a smaller document's."""
-    names = [*plain.columns, "n_bytes", "n_removed", "n_spans", "kept", "kept_text"]
-    at, own = plain.columns.index(text_col), len(plain.columns)
-    ordered = rows.select(*(F.col(f"`{c}`") for c in plain.columns), F.coalesce(F.col("_low") > F.col("_least"), F.lit(False)).alias("_all"), "_a", "_b")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    plain = docs.drop(*ADDED)
+    columns = plain.columns
+    total = plain.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    size = max(BATCH_BYTES, int((PER_BLOB * total) ** 0.5))
+    buckets = max(1, -(-total // size))
+
+    def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, held, bytes_ = TaskContext.get().partitionId(), 0, [], 0
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+
+        def close() -> pa.RecordBatch:
+            nonlocal n
+            table = pa.Table.from_batches(held).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=options) as out:
+                out.write_table(table)
+            n += 1
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + n - 1]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch", "rows"])
+
         for batch in batches:
-            out = []
-            columns = (batch.column(k).to_pylist() for k in (at, own, own + 1, own + 2))
-            for text, whole, a, b in zip(*columns, strict=True):
-                raw = (text or "").encode()
-                if whole:
-                    out.append((len(raw), len(raw), 1, b""))
-                elif not a:
-                    out.append((len(raw), 0, 0, raw))
-                else:
-                    gone = np.zeros(len(raw) + 1, np.int64)
-                    np.add.at(gone, a, 1)
-                    np.add.at(gone, b, -1)
-                    gone = np.cumsum(gone)[:-1] > 0
-                    spans = int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1))
-                    out.append((len(raw), int(gone.sum()), spans, np.frombuffer(raw, np.uint8)[~gone].tobytes()))
-            text = batch.column(at).to_pylist()
-            out = [(*r, None if t is None else r[3].decode("utf-8", "ignore")) for r, t in zip(out, text, strict=True)]
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-            more = [pa.array([r[k] for r in out], t) for k, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:own], *more], names)
-
-    fields = [T.StructField(n, T.LongType()) for n in names[-5:-2]]
+            if not batch.num_rows:
+                continue
+            batch = pa.RecordBatch.from_arrays(batch.columns, names=columns)
+            sizes = np.array([len(t or "") for t in batch.column(columns.index(text_col)).to_pylist()])
+            a = 0
+            while a < len(sizes):
+                room = np.searchsorted(np.cumsum(sizes[a:]), size - bytes_, side="right")
+                b = min(len(sizes), a + max(int(room), 0 if held else 1))
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+                    bytes_ += int(sizes[a:b].sum())
+                if b < len(sizes) or bytes_ >= size:
+                    yield close()
+                    bytes_ = 0
+                a = b
+        if held:
+            yield close()
+
+    def each(work):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    own = Batch(batch.column(1)[k].as_py(), id_col, text_col, length)
+                    yield from work(batch.column(0)[k].as_py(), own).to_batches()
+
+        return run
+
+    stored_batches = stored(plain.mapInArrow(batched, "batch long, rows binary"), "suffix-batches")
+    sent = stored_batches.mapInArrow(each(lambda batch, own: _send_names(batch, own, buckets)), NAMES)
+    flags = sent.groupBy("bucket").applyInArrow(_answer_names, FLAGS)
+
+    def parts(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = Batch(left["rows"][0].as_py(), id_col, text_col, length)
+        answers = dict(zip(right["bucket"].to_pylist(), right["flags"].to_pylist(), strict=True))
+        return _send_parts(left["batch"][0].as_py(), own, answers, buckets)
+
+    asked = stored_batches.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(parts, PARTS)
+    spans = asked.groupBy("bucket").applyInArrow(lambda rows: _answer_parts(rows, length), SPANS)
+    names = [*columns, *ADDED]
+    fields = [T.StructField(c, T.LongType()) for c in ADDED[:3]]
     fields += [T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())]
-    return ordered.mapInArrow(cut, T.StructType([*plain.schema.fields, *fields]))
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = Batch(left["rows"][0].as_py(), id_col, text_col, length)
+        done, kept = _remove(own, right, columns)
+        texts = [None if t is None else k.decode("utf-8", "ignore") for t, k in zip(own.rows[text_col].to_pylist(), kept, strict=True)]
+        return pa.table([*done, pa.array(kept, pa.binary()), pa.array(texts, pa.string())], names)
+
+    schema = T.StructType([*plain.schema.fields, *fields])
+    return stored_batches.groupBy("batch").cogroup(spans.groupBy("batch")).applyInArrow(cut, schema)
