@@ -1,8 +1,13 @@
 """Token-ID / binary output: ids of whole texts, Simple-8b coded, in files in ascending id order.
 
-The files are a Parquet dataset whose rows are coded chunks of whole documents, so Spark's commit protocol covers lost
-executors and any store that Spark reaches will do. Null texts count as empty and still get the end id; null ids come
-first; equal ids are kept in the order of their texts; an empty table gives an empty dataset. Other columns are ignored.
+Texts are encoded where they are read, and their coded ids travel, not the texts. The ids alone are read first: their
+quantiles are the bounds of the files' ranges, so that a range holds about RANGE_ROWS documents. Each range is sorted and
+written as chunks of whole documents, a coded block of words per document behind an offset.
+
+The files are a Parquet dataset whose rows are chunks, so Spark's commit protocol covers lost executors and any store that
+Spark reaches will do. Null texts count as empty and still get the end id; null ids come first; equal ids are kept in
+the order of their tokens; a very long text is a chunk of its own; an empty table gives an empty dataset. Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,48 +24,83 @@ from cladefreq.llm.pieces import encoder
 
 #: Ids after which a chunk is closed; a longer document makes a longer chunk.
 CHUNK_IDS = 1 << 18
-FILE_SCHEMA = "part int, chunk int, base long, n_ids long, ids array<long>, lengths array<long>, payload binary"
+#: Documents of a range, unless there would be more than MAX_RANGES.
+RANGE_ROWS, MAX_RANGES = 4_096, 20_000
+#: Characters encoded at a time; a longer text is alone.
+GROUP_CHARS = 1 << 20
+FILE_SCHEMA = (
+    "part int, chunk int, base long, n_ids long, ids array<long>, lengths array<long>, ends array<long>, payload binary"
+)
+
+
+def _bounds(ids: DataFrame) -> np.ndarray:
+    """Ascending ids at which ranges of about RANGE_ROWS rows begin; read from the id column alone."""
+    n = ids.agg(F.count("id")).first()[0]
+    ranges = min(MAX_RANGES, -(-n // RANGE_ROWS))
+    if ranges < 2:
+        return np.zeros(0, np.int64)
+    shares = [k / ranges for k in range(1, ranges)]
+    found = ids.agg(F.percentile_approx("id", shares, 10 * ranges)).first()[0]
+    return np.unique(np.array(found, np.int64))
 
 
 def write_token_files(
     docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text"
 ) -> None:
     """Write the ids of every text, each document followed by `end_id`, as coded chunks below `folder`."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    bounds = _bounds(rows.select("id"))
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = encoder(tokenizer, False), np.array([end_id], "<u4").tobytes()
+        names = ["part", "id", "n", "coded"]
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            at = 0
+            while at < len(texts):
+                to, held = at, 0
+                while to < len(texts) and (to == at or held + len(texts[to]) <= GROUP_CHARS):
+                    held += len(texts[to])
+                    to += 1
+                blobs = [b + end for b in encode(texts[at:to])]
+                sizes = np.array([len(b) // 4 for b in blobs], np.int64)
+                coded = simple8b.encode_each(np.frombuffer(b"".join(blobs), "<u4"), sizes)
+                own = ids.slice(at, to - at)
+                part = np.searchsorted(bounds, own.fill_null(-(1 << 63)).to_numpy(), side="right").astype(np.int32)
+                columns = [pa.array(part), own, pa.array(sizes), pa.array(coded, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+                at = to
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, base, chunk = encoder(tokenizer, False), TaskContext.get().partitionId(), 0, 0
-        ids, blobs, end = [], [], np.array([end_id], "<u4").tobytes()
+        part, base, chunk, held = None, 0, 0, []
 
         def close() -> pa.RecordBatch:
             nonlocal base, chunk
-            lengths = [len(b) // 4 for b in blobs]
-            values = np.frombuffer(b"".join(blobs), "<u4")
-            row = ([part], [chunk], [base], [len(values)], [list(ids)], [lengths], [simple8b.encode(values)])
-            types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(v, t) for v, t in zip(row, types, strict=True)], [x.split()[0] for x in FILE_SCHEMA.split(", ")]
-            )
-            base, chunk = base + len(values), chunk + 1
-            ids.clear()
-            blobs.clear()
-            return out
+            lengths = [r[1] for r in held]
+            ends = np.cumsum([len(r[2]) for r in held]).tolist()
+            row = (part, chunk, base, sum(lengths), [r[0] for r in held], lengths, ends, b"".join(r[2] for r in held))
+            base, chunk = base + sum(lengths), chunk + 1
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
         pending = 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                own = batch.slice(k, 512)
-                for key, blob in zip(own.column(0).to_pylist(), encode(own.column(1).to_pylist()), strict=True):
-                    ids.append(key)
-                    blobs.append(blob + end)
-                    pending += len(blob) // 4 + 1
-                    if pending >= CHUNK_IDS:
-                        yield close()
-                        pending = 0
-        if ids:
+            for own, key, n, coded in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (own != part or pending >= CHUNK_IDS):
+                    yield close()
+                    pending = 0
+                if own != part:
+                    part, base, chunk = own, 0, 0
+                held.append((key, n, coded))
+                pending += n
+        if held:
             yield close()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    longs = pa.list_(pa.int64())
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), longs, longs, longs, pa.binary())
+    names = [x.split()[0] for x in FILE_SCHEMA.split(", ")]
+    moved = rows.mapInArrow(encoded, "part int, id long, n long, coded binary").repartition("part")
+    ordered = moved.sortWithinPartitions("part", F.col("id").asc_nulls_first(), "n", "coded")
     ordered.mapInArrow(chunks, FILE_SCHEMA).write.parquet(folder)
 
 
@@ -71,28 +110,29 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                values = simple8b.decode(row["payload"]).astype("<u4")
-                ends = np.cumsum(row["lengths"])
-                starts = ends - row["lengths"]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row["ids"], pa.int64()),
-                        pa.array(starts + row["base"], pa.int64()),
-                        pa.array(row["lengths"], pa.int64()),
-                        pa.array([values[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                    ],
-                    ["id", "start", "n_tokens", "ids"],
-                )
+            for k in range(batch.num_rows):
+                base, ids, lengths, ends, payload = (batch.column(j)[k] for j in range(5))
+                sizes, stops = np.asarray(lengths.values), np.asarray(ends.values)
+                values = simple8b.decode_each(payload.as_buffer(), stops).astype("<u4")
+                starts = np.cumsum(sizes) - sizes
+                offsets = np.r_[0, np.cumsum(sizes)] * 4
+                if offsets[-1] < 1 << 31:
+                    buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)]
+                    blobs = pa.Array.from_buffers(pa.binary(), len(sizes), buffers)
+                else:
+                    raw = values.tobytes()
+                    blobs = pa.array([raw[a:b] for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary())
+                columns = [ids.values, pa.array(starts + base.as_py()), pa.array(sizes), blobs]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "start", "n_tokens", "ids"])
 
     files = spark.read.schema(FILE_SCHEMA).parquet(folder)
-    # One row per written partition, so this window and this broadcast stay as small as the number of partitions.
+    # One row per range, of which there are MAX_RANGES at most, in this window and this broadcast.
     totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = totals.select(
         "part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
     )
     based = files.join(F.broadcast(before), "part").select(
-        (F.col("base") + F.col("before")).alias("base"), "ids", "lengths", "payload"
+        (F.col("base") + F.col("before")).alias("base"), "ids", "lengths", "ends", "payload"
     )
     return based.mapInArrow(documents, "id long, start long, n_tokens long, ids binary")
 
