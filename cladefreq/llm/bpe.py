@@ -5,7 +5,8 @@ it, leftmost first; the root is the next merge. A merge changes three leaves: it
 and that of the part it swallows. Each is a logarithmic update. Matches of up to 256 bytes are merged side by side, those
 of one tree size together; longer ones one by one. Ids of repeated matches are kept in a bounded table.
 
-A null text counts as empty and has no ids; null and repeated ids are encoded row by row. Other columns are ignored.
+A null text counts as empty and has no ids; null and repeated ids are encoded row by row; a very long text, or one that
+is a single match, is encoded whole; an empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +22,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladefreq.llm.pieces import BYTE_LEVEL, KEPT, OTHER
+from cladefreq.llm.pieces import BYTE_LEVEL, BYTE_LEVEL_PATTERN, KEPT, OTHER
 
 NONE = np.int64(1) << 62
+#: Bits of an id in the name of a pair, and of a position in a leaf below its rank: matches of up to 2^40 bytes.
 SHIFT = 24
+PLACE = 40
+MAX_RANK = 1 << 22
 SIDE_BY_SIDE = 256
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded binary"
 
@@ -33,7 +37,9 @@ class Bpe:
     """Ranks of one vocabulary. `ranks`: token bytes to id, which is also the order of merges."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        if max(ranks.values(), default=0) >= MAX_RANK:
+            raise ValueError(f"ranks of {MAX_RANK} and more are not supported")
+        self.ranks, self.pattern, self.is_plain = ranks, regex.compile(pattern), pattern == BYTE_LEVEL_PATTERN
         self.tokens = {i: t for t, i in ranks.items()}
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
@@ -53,7 +59,7 @@ class Bpe:
         found = np.searchsorted(self.keys, key)
         np.minimum(found, len(self.keys) - 1, out=found)
         hit = (self.keys[found] == key) & (left >= 0) & (right >= 0)
-        return np.where(hit, self.values[found] << SHIFT | at, NONE)
+        return np.where(hit, self.values[found] << PLACE | at, NONE)
 
     def _side_by_side(self, words: list[bytes], width: int) -> list[bytes]:
         """Merge words of at most `width` bytes (a power of two), one tree each, all trees in step."""
@@ -77,7 +83,7 @@ class Bpe:
         live = np.flatnonzero(tree[:, 1] < NONE)
         while len(live):
             root = tree[live, 1]
-            at, rank = root & ((1 << SHIFT) - 1), root >> SHIFT
+            at, rank = root & ((1 << PLACE) - 1), root >> PLACE
             gone = after[live, at]
             then = after[live, gone]
             prior = before[live, at]
@@ -113,13 +119,13 @@ class Bpe:
 
         def leaf(at: int, then: int) -> int:
             rank = get(ids[at] << SHIFT | ids[then]) if then < n else None
-            return none if rank is None else rank << SHIFT | at
+            return none if rank is None else rank << PLACE | at
 
         tree = [none] * width + [leaf(k, k + 1) for k in range(n)] + [none] * (width - n)
         for k in range(width - 1, 0, -1):
             tree[k] = min(tree[2 * k], tree[2 * k + 1])
         while tree[1] < none:
-            at, rank = tree[1] & ((1 << SHIFT) - 1), tree[1] >> SHIFT
+            at, rank = tree[1] & ((1 << PLACE) - 1), tree[1] >> PLACE
             gone = after[at]
             then, prior = after[gone], before[at]
             ids[at], ids[gone], after[at] = rank, -1, then
@@ -155,10 +161,13 @@ class Bpe:
                     out[k] = ids
         return out
 
+    def _matches(self, text: str) -> list[str]:
+        return [m.group() for m in self.pattern.finditer(text)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, each match of the pattern separately."""
-        # The plain pattern states the same matches for the characters that OTHER leaves out.
-        lists = [self.pattern.findall(t) if OTHER.search(t) else BYTE_LEVEL.findall(t) for t in texts]
+        # BYTE_LEVEL states the matches of that one pattern for the characters that OTHER leaves out.
+        lists = [BYTE_LEVEL.findall(t) if self.is_plain and not OTHER.search(t) else self._matches(t) for t in texts]
         wanted = set().union(*lists)
         missing = wanted - self.known.keys()
         if len(self.known) + len(missing) > KEPT:

@@ -16,10 +16,12 @@ import numpy as np
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 DIGITS = "0-9²³¹¼½¾"
 SPACES = "\t-\r \x85\xa0"
-#: U+0130 is out because its lower case is two characters.
-OTHER = re.compile("[^\x00-įı-ɏ‐-‧]")
+#: Lower-cased texts are tested in lower case: U+0130 and capitals whose small letters lie beyond U+024F are others then.
+OTHER = re.compile("[^\x00-ɏ‐-‧]")
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
-#: Matches of the byte-level pattern; letters come first, as no other branch can start with one.
+#: The byte-level splitting pattern, a fixed value of the vocabulary files.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Its matches; letters come first, as no other branch can start with one.
 BYTE_LEVEL = re.compile(
     f" ?[{LETTERS}]+|{ENDINGS}| ?[{DIGITS}]+| ?[^{SPACES}{LETTERS}{DIGITS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 )
@@ -36,7 +38,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.split, self.lower = (WORD_LEVEL if lower else BYTE_LEVEL).findall, lower
         self.known: dict[str, bytes] = {}
 
@@ -52,9 +54,10 @@ class Encoder:
         return [blob[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        plain = [not OTHER.search(t) for t in texts]
+        seen = [t.lower() for t in texts] if self.lower else texts
+        plain = [not OTHER.search(t) and not any(x in t for x in self.special) for t in seen]
         whole = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
-        lists = [self.split(t.lower() if self.lower else t) if p else () for t, p in zip(texts, plain, strict=True)]
+        lists = [self.split(t) if p else () for t, p in zip(seen, plain, strict=True)]
         wanted = set().union(*lists)
         missing = wanted - self.known.keys()
         if len(self.known) + len(missing) > KEPT:

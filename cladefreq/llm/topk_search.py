@@ -7,8 +7,9 @@ components are summed, the products of what is left of both lengths bound the re
 reach the score are multiplied exactly, in integers. Scores to beat rise as a tile is read; ties stay in.
 
 Components become floor(scale * x). Null ids, null vectors and those with null or non-finite components take no part;
-vectors of different length never meet. Rows that share an id count once, with their smallest vector. An empty table, or
-one without queries, gives no rows. Other columns are ignored.
+vectors of different length never meet. Rows that share an id are rows of their own: each is a query where its id is one,
+and only itself is no candidate. An empty table, or one without queries, gives no rows. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ BLOCK = 2_048
 #: Rotated components summed before each test.
 STEPS = (16, 32)
 ROWS_AT_ONCE = 1_024
-FOUND = "block int, query_id long, vec_id long, score long"
+FOUND = "block int, query long, query_id long, vec_id long, score long"
 
 
 class Best:
@@ -49,7 +50,9 @@ class Best:
         self.floor[query[full]] = np.maximum(self.floor[query[full]], score[full])
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, rotation: np.ndarray, best: Best) -> None:
+def search(
+    q_rows: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, rotation: np.ndarray, best: Best
+) -> None:
     """Add to `best` what the rows `x` (descending length, integers as doubles) hold for the queries `q`."""
     q_turned, x_turned = q @ rotation, x @ rotation
     q_length, x_length = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
@@ -77,13 +80,14 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, rot
         for b in range(0, len(i), 1 << 18):
             i_own, j_own = i[b : b + (1 << 18)], j[b : b + (1 << 18)]
             score = np.einsum("nd,nd->n", q[i_own].astype(np.int64), x[j_own].astype(np.int64))
-            keep = (ids[j_own] != q_ids[i_own]) & (score >= best.floor[i_own])
+            keep = (rows[j_own] != q_rows[i_own]) & (score >= best.floor[i_own])
             best.add(i_own[keep], ids[j_own[keep]], score[keep])
 
 
-def _matrix(row: dict, name: str, key: str) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row[key], "<i8")
-    return ids, np.frombuffer(row[name], "<f8").reshape(len(ids), -1)
+def _matrix(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, ids and vectors of a tile."""
+    ids = np.frombuffer(row["ids"], "<i8")
+    return np.frombuffer(row["weights"], "<i8"), ids, np.frombuffer(row["matrix"], "<f8").reshape(len(ids), -1)
 
 
 def top_k(
@@ -92,65 +96,68 @@ def top_k(
     """query_id, rank (from 1), vec_id, score: the `k` best other rows of every row where `is_query` holds (a condition on
     the id column), ties to the smaller id."""
     whole = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("double"))
+    own = F.coalesce(is_query, F.lit(False)).alias("asks")
     rows = vectors.where(takes_part(vector_col) & F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias(id_col), whole.alias("v")
+        F.col(id_col).cast("long").alias("id"), own, whole.alias("v")
+    )
+    # `weight` carries the number of the row.
+    rows = stored(rows.withColumn("weight", F.monotonically_increasing_id()), "topk-vectors").withColumns(
+        {"dim": F.size("v"), "label": F.lit(""), "length": F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)}
     )
-    rows = stored(rows.groupBy(id_col).agg(F.min("v").alias("v")), "topk-vectors").withColumns(
-        {"id": F.col(id_col), "dim": F.size("v"), "label": F.lit(""), "weight": F.lit(1).cast("long"),
-         "length": F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)}
-    )
     turns = rows.sparkSession.sparkContext.broadcast(directions(rows, centred=False))
-    ordered = rows.repartitionByRange("dim", F.desc("length"), "id").sortWithinPartitions("dim", F.desc("length"), "id")
+    order = ["dim", F.desc("length"), "id", "weight"]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     made = stored(tiles(ordered, TILE), "topk-tiles")
     # Number the tiles of each dim from the longest vectors on; a row per tile, without its vectors.
     order = Window.partitionBy("dim").orderBy("part", "place")
     numbers = made.select("part", "place", "dim", (F.row_number().over(order) - 1).alias("tile"))
-    made = made.join(numbers, ["part", "place", "dim"]).select("dim", "tile", "ids", "matrix")
-    queries = rows.where(is_query)
+    made = made.join(numbers, ["part", "place", "dim"]).select("dim", "tile", "ids", "weights", "matrix")
+    queries = rows.where("asks")
     sizes = {r["dim"]: r["count"] for r in queries.groupBy("dim").count().collect()}
     counts = {r["dim"]: r["count"] for r in numbers.groupBy("dim").count().collect()}
     one_of = lambda table: F.coalesce(*[F.when(F.col("dim") == d, F.lit(n)) for d, n in table.items()], F.lit(1))
     blocks_of = {d: -(-n // BLOCK) for d, n in sizes.items()}
-    block = F.pmod(F.xxhash64("id"), one_of(blocks_of)).cast("int")
+    block = F.pmod(F.xxhash64("id", "weight"), one_of(blocks_of)).cast("int")
     blocks = queries.withColumn("block", block).groupBy("dim", "block").agg(
-        F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows")
+        F.sort_array(F.collect_list(F.struct("id", F.col("weight").alias("row"), "v"))).alias("rows")
     )
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
 
-    def packed(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([r["id"] for r in row["rows"]], np.int64), np.array([r["v"] for r in row["rows"]], np.float64)
+    def packed(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = row["rows"]
+        return *(np.array([r[k] for r in own], np.int64) for k in ("row", "id")), np.array([r["v"] for r in own], np.float64)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({x.split()[0]: pa.array([], t) for x, t in zip(FOUND.split(", "), types, strict=True)})
         row = right.to_pylist()[0]
-        q_ids, q = packed(row)
+        q_rows, q_ids, q = packed(row)
         best = Best(len(q_ids), k)
         if row.get("floors") is not None:
             floors = dict(zip(row["floor_ids"], row["floors"], strict=True))
-            best.floor = np.array([floors.get(x, -np.inf) for x in q_ids.tolist()])
+            best.floor = np.array([floors.get(x, -np.inf) for x in q_rows.tolist()])
         for tile in left.to_pylist():
-            ids, x = _matrix(tile, "matrix", "ids")
-            search(q_ids, q, ids, x, turns.value[x.shape[1]], best)
+            row_ids, ids, x = _matrix(tile)
+            search(q_rows, q, row_ids, ids, x, turns.value[x.shape[1]], best)
         n = len(best.query)
-        columns = (np.full(n, row["block"], np.int32), q_ids[best.query], best.key, best.score)
+        columns = (np.full(n, row["block"], np.int32), q_rows[best.query], q_ids[best.query], best.key, best.score)
         return pa.table({x.split()[0]: pa.array(c, t) for x, c, t in zip(FOUND.split(", "), columns, types, strict=True)})
 
-    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
     first = made.where("tile = 0").withColumn("block", every(one_of(blocks_of)))
     seed = stored(
         first.groupBy("dim", "block").cogroup(blocks.groupBy("dim", "block")).applyInArrow(meet, FOUND), "topk-seed"
     )
     # The k-th best of each query so far; those with fewer have no score to beat.
-    floors = seed.groupBy("block", "query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
-    ids_of = rows.select(F.col("id").alias("query_id"), "dim")
-    by_block = floors.join(ids_of, "query_id").groupBy("dim", "block").agg(
-        F.collect_list("query_id").alias("floor_ids"), F.collect_list(F.col("floor").cast("double")).alias("floors")
+    floors = seed.groupBy("block", "query").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
+    ids_of = rows.select(F.col("weight").alias("query"), "dim")
+    by_block = floors.join(ids_of, "query").groupBy("dim", "block").agg(
+        F.collect_list("query").alias("floor_ids"), F.collect_list(F.col("floor").cast("double")).alias("floors")
     )
     rest = made.where("tile > 0").withColumn("block", every(one_of(blocks_of)))
     armed = blocks.join(by_block, ["dim", "block"], "left").withColumn("tile", every(one_of(counts))).where("tile > 0")
     keys = ("dim", "block", "tile")
     later = rest.groupBy(*keys).cogroup(armed.groupBy(*keys)).applyInArrow(meet, FOUND)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = seed.union(later).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -4,7 +4,8 @@ Labelled outcomes of pages are counted per host, registered domain and suffix. E
 distribution centred on the level above (all pages, suffix, registered domain), whose weight is the beta-binomial
 estimate by moments over that level's groups. A host's reputation is its posterior; a page is blocked when the upper
 posterior bound of its host is below the wanted rate, so a host without outcomes is judged by its domain, its suffix and
-at last by all pages. Built-in functions only.
+at last by all pages. The bound is the posterior mean plus `z` posterior standard deviations, a normal approximation of
+the beta quantile, cut at 1. Built-in functions only.
 
 Nulls: a null url or one without `://` has an empty host and path, fits no rule, and is judged as the host ''. Labels with
 a null outcome or page are left out; several labels of a page all count. Repeated pages are judged row by row. With no
@@ -95,17 +96,19 @@ def host_reputation(hosts: DataFrame, outcomes: DataFrame, suffixes: Sequence[st
     for name in ("suffix", "domain", "host"):
         sums = levels.groupBy(name).agg(F.sum("good").alias(f"good_{name}"), F.sum("n").alias(f"n_{name}"))
         out = out.join(sums, name, "left").fillna(0, [f"good_{name}", f"n_{name}"])
-    # Four tables of exactly one row each.
-    for one in (whole, *(_weight(levels, name, f"w_{name}") for name in ("suffix", "domain", "host"))):
-        out = out.join(F.broadcast(one))
-    centre = F.col("m0")
+    # Four numbers, each the only cell of its table.
+    centre, prior = whole.scalar(), {}
     for name in ("suffix", "domain", "host"):
-        centre = (F.col(f"good_{name}") + F.col(f"w_{name}") * centre) / (F.col(f"n_{name}") + F.col(f"w_{name}"))
-    weight = F.col("n_host") + F.col("w_host")
+        prior[name] = _weight(levels, name, f"w_{name}").scalar()
+        centre = (F.col(f"good_{name}") + prior[name] * centre) / (F.col(f"n_{name}") + prior[name])
+    weight = F.col("n_host") + prior["host"]
     return out.select("host", centre.alias("posterior"), weight.alias("weight")).select(
         "host",
         "posterior",
-        (F.col("posterior") + z * F.sqrt(F.col("posterior") * (1 - F.col("posterior")) / (F.col("weight") + 1))).alias("upper"),
+        F.least(
+            F.lit(1.0),
+            F.col("posterior") + z * F.sqrt(F.col("posterior") * (1 - F.col("posterior")) / (F.col("weight") + 1)),
+        ).alias("upper"),
     )
 
 
