@@ -28,6 +28,7 @@ from cladefreq.sources import (
     read_published,
     read_text_table,
     shared_folder,
+    written,
 )
 from cladefreq.sources.readers import EVIDENCE_NUMBERS, ORDER_COLUMNS
 
@@ -121,8 +122,9 @@ class Star:
 
     @cached_property
     def cut_sets(self) -> DataFrame:
+        """Stored: pair counts, totals and sizes all read it, and the plans behind it would add up on the driver."""
         sized = entities.with_group_sizes(self.entities, ["subgroup"])
-        return matrix.size_cut_sets(self.pairs, sized)
+        return written(matrix.size_cut_sets(self.pairs, sized))
 
     @cached_property
     def covariance(self) -> DataFrame:
