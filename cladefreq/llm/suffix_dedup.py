@@ -13,9 +13,9 @@ pass between batches and buckets of names:
    each learns the smallest document id among them. The bucket answers with the spans to remove.
 3. Each batch cuts its documents.
 
-What travels are blobs of numbers and bytes, at least a hundred names each: the sizes of batches and buckets both grow
-with the square root of the input, from 4 MB to 450 MB at 100 TB. Batches are rows of a stored table, so a lost executor
-costs the tasks it ran.
+What travels are blobs of numbers and bytes, ten names or more each: the sizes of batches and buckets both grow with the
+square root of the input, from 4 MB to 140 MB at 100 TB. Texts, however long, are cut and hashed half a megabyte at a time.
+Batches are rows of a stored table, so a lost executor costs the tasks it ran.
 
 Segments are told apart by 64-bit hashes and compared byte by byte before two count as one; names only decide where
 windows meet. Null texts count as empty; a text shorter than `length` loses nothing. Rows that share an id do not remove
@@ -41,7 +41,9 @@ from cladefreq.llm.common import stored
 GRAM = 16
 SHALLOW = 16
 #: Least bytes of text in a batch or bucket, and bytes per name and document on which their growth rests.
-BATCH_BYTES, PER_BLOB = 1 << 22, 2_000
+BATCH_BYTES, PER_BLOB = 1 << 22, 200
+#: Bytes that are cut into segments, hashed or compared together.
+SLICE = 1 << 19
 #: Windows of a segment; a longer run of one name is cut.
 SEGMENT_WINDOWS = 1 << 10
 #: Segments of a name in all documents before its windows are dealt out one by one.
@@ -241,8 +243,27 @@ def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np
     return data[np.repeat(starts - first, sizes) + np.arange(int(sizes.sum()))], first
 
 
+def _slices(sizes: np.ndarray, limit: int) -> Iterator[slice]:
+    """Consecutive members of about `limit` bytes together; a larger one is alone."""
+    total, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + limit, side="right")))
+        yield slice(a, b)
+        a = b
+
+
 def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> bool:
-    return bool(np.array_equal(_gather(data, a, sizes)[0], _gather(data, b, sizes)[0]))
+    own = _slices(sizes, SLICE)
+    return all(np.array_equal(_gather(data, a[k], sizes[k])[0], _gather(data, b[k], sizes[k])[0]) for k in own)
+
+
+def _digests(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each stretch."""
+    out = np.empty(len(starts), np.uint64)
+    for k in _slices(sizes, SLICE):
+        body, first = _gather(data, starts[k], sizes[k])
+        out[k] = Hashes(body)(first, sizes[k])
+    return out
 
 
 def distinct(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +284,7 @@ def _runs(body: bytes, sizes: np.ndarray, names: np.ndarray, of: np.ndarray, low
     class its first window, number of windows, and the windows' owners. `of` and `low`: segment and document of each place."""
     data = np.frombuffer(body, np.uint8)
     starts = np.cumsum(sizes) - sizes
-    heads, classes = distinct(data, starts, sizes, Hashes(data)(starts, sizes))
+    heads, classes = distinct(data, starts, sizes, _digests(data, starts, sizes))
     least = np.full(len(heads), LAST)
     np.minimum.at(least, classes[of], low)
     windows = sizes[heads] - length + 1
@@ -284,7 +305,8 @@ def _runs(body: bytes, sizes: np.ndarray, names: np.ndarray, of: np.ndarray, low
         shift = np.cumsum(count) - count
         inside = np.arange(int(count.sum())) - np.repeat(shift, count)
         at = np.repeat(first[own], count) + inside
-        order, group = sort_suffixes(data, np.repeat(starts[heads[own]], count) + inside, length)
+        some, begin = _gather(data, starts[heads[own]], sizes[heads[own]])
+        order, group = sort_suffixes(some, np.repeat(begin, count) + inside, length)
         head = np.flatnonzero(np.r_[True, np.diff(group) != 0])
         smallest = np.minimum.reduceat(owner[at][order], head)
         owner[at[order]] = np.repeat(smallest, np.diff(np.r_[head, len(order)]))
@@ -302,7 +324,23 @@ class Batch:
         self.length = length
 
     def cut(self) -> None:
-        self.data, self.of, self.starts, self.counts, self.names, self.offsets = segments(self.texts, self.length)
+        """Segments of all texts: text, start among all bytes, number of windows, name."""
+        lap, pieces = self.length - 1, []
+        for k, text in enumerate(self.texts):
+            pieces += [(k, a, min(len(text), a + SLICE + lap) - a) for a in range(0, max(0, len(text) - lap), SLICE)]
+        self.data = np.frombuffer(b"".join(self.texts), np.uint8)
+        sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.offsets = np.cumsum(sizes) - sizes
+        found = []
+        for own in _slices(np.array([p[2] for p in pieces], np.int64), SLICE):
+            some = pieces[own]
+            _, of, starts, counts, names, first = segments([self.texts[k][a : a + n] for k, a, n in some], self.length)
+            text = np.array([p[0] for p in some])[of]
+            at = np.array([p[1] for p in some])[of]
+            found.append((text, starts - first[of] + at + self.offsets[text], counts, names))
+        none = np.zeros(0, np.int64)
+        columns = zip(*found, strict=True) if found else [[none], [none], [none], [none.astype(np.uint64)]]
+        self.of, self.starts, self.counts, self.names = (np.concatenate(c) for c in columns)
 
     def named(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct names, how many segments have each, whether two documents do, and the name of each segment."""
@@ -380,7 +418,6 @@ def _send_parts(batch: int, own: Batch, flags: dict[int, bytes], buckets: int) -
         shared[at], crowded[at] = bits[0], bits[1]
     shared, crowded = shared[inverse], crowded[inverse]
     whole, apart = np.flatnonzero(shared & ~crowded), np.flatnonzero(crowded)
-    hashes = Hashes(own.data) if len(whole) + len(apart) else None
     count = own.counts[apart]
     shift = np.cumsum(count) - count
     inside = np.arange(int(count.sum())) - np.repeat(shift, count)
@@ -390,7 +427,7 @@ def _send_parts(batch: int, own: Batch, flags: dict[int, bytes], buckets: int) -
     of = np.r_[own.of[whole], np.repeat(own.of[apart], count)]
     if not len(starts):
         return _table({c.split()[0]: [] for c in PARTS.split(", ")}, PARTS)
-    digests = hashes(starts, sizes)
+    digests = _digests(own.data, starts, sizes)
     heads, classes = distinct(own.data, starts, sizes, digests)
     keys = digests[heads].copy()
     is_whole = heads < len(whole)

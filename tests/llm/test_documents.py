@@ -58,6 +58,44 @@ def test_repeats_match_every_window(spark, seed):
     assert got == repeats(docs, 50)
 
 
+@pytest.mark.parametrize("small", ["CROWDED", "SLICE", "SORTED", "BATCH_BYTES", "SEGMENT_WINDOWS"])
+def test_repeats_whatever_the_sizes(spark, monkeypatch, small):
+    """Crowded names go window by window; slices, sorts, batches and segments may be as short as they like."""
+    from pyspark import cloudpickle
+
+    monkeypatch.setattr(suffix_dedup, small, {"CROWDED": 1, "SLICE": 70, "SORTED": 3, "BATCH_BYTES": 900, "SEGMENT_WINDOWS": 2}[small])
+    cloudpickle.register_pickle_by_value(suffix_dedup)
+    try:
+        docs = texts_with_passages(3)
+        frame = spark.createDataFrame([(k, t, "z") for k, t in docs], SCHEMA).repartition(4)
+        got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(frame, 50).collect())
+        assert got == repeats(docs, 50)
+    finally:
+        cloudpickle.unregister_pickle_by_value(suffix_dedup)
+
+
+def test_a_gram_in_thousands_of_contexts(spark, monkeypatch):
+    """A phrase longer than a gram in 3,000 unlike contexts, and two of these contexts alike."""
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(40))
+    docs = [(i, f"{word()} the common phrase of all texts {word()}") for i in range(3000)]
+    docs += [(4000, "x " + docs[700][1][10:90]), (4001, docs[5][1])]
+    frame = spark.createDataFrame([(k, t, "z") for k, t in docs], SCHEMA).repartition(8)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(frame, 50).collect())
+    assert got == repeats(docs, 50)
+
+
+def test_blind_trie_orders_and_joins():
+    draw = random.Random(1)
+    texts = [bytes(draw.choice(b"ab") for _ in range(7)) for _ in range(300)]
+    trie = suffix_dedup.BlindTrie()
+    for k, t in enumerate(texts):
+        trie.insert(t, k)
+    found = [sorted({texts[k] for k in own}) for own in trie.classes()]
+    assert found == [[t] for t in sorted(set(texts))]
+    assert sorted(k for own in trie.classes() for k in own) == list(range(300))
+
+
 def test_suffix_order_is_the_sorted_one():
     draw = np.random.default_rng(3)
     data = draw.integers(97, 99, 3000).astype(np.uint8)
