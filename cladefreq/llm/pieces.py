@@ -28,7 +28,7 @@ BYTE_LEVEL = re.compile(
 #: Matches of the word-level pattern, in lower case, without white space.
 WORD_LEVEL = re.compile(f"[{LETTERS}]+|{ENDINGS}|[{DIGITS}]|[^{SPACES}{LETTERS}{DIGITS}]+")
 #: Distinct matches kept per worker; beyond it the table starts anew, which costs time, never results.
-KEPT = 1_000_000
+KEPT = 400_000
 
 
 class Encoder:
