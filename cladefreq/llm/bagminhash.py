@@ -79,7 +79,7 @@ def signatures(of: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int,
         low, length = (0, 1) if k == 0 else (1 << (k - 1), 1 << (k - 1))
         own = np.flatnonzero(weights > low)
         if len(own):
-            seed = mix(hashes[own] + np.uint64(k) * BASE)
+            seed = mix(hashes[own] + np.array([k], np.uint64) * BASE)
             elements.append((of[own], seed, (weights[own] - low) / length, np.full(len(own), 1 / (length * registers))))
     if not elements:
         return times.view(np.uint64).reshape(n, registers)
@@ -87,7 +87,7 @@ def signatures(of: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int,
     time, latest, draw = np.zeros(len(doc)), np.full(n, np.inf), 0
     while len(doc):
         draw += 1
-        first = mix(seed + np.uint64(2 * draw) * BASE)
+        first = mix(seed + np.array([2 * draw], np.uint64) * BASE)
         second = mix(first ^ seed)
         time = time - np.log1p(-((first >> np.uint64(11)) * 2.0**-53)) * step
         near = time < latest[doc]

@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cladefreq.operators.joins import salted_join
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir; a local session without that setting gets a temporary one."""
@@ -26,7 +28,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to a shared folder and read it back, which also ends its lineage."""
     folder = shared_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out._folder = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the folders of stored tables that nothing reads any more: all that came of them is stored itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._folder)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
@@ -59,13 +70,18 @@ def connected(links: DataFrame, name: str = "components") -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(
                 edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
             )
-        seen = tuple(found)
+        seen, before = tuple(found), edges
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # A centre with many neighbours is spread over places in proportion to their number.
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        sizes, least = least.select("u", "n"), least.select("u", F.least("u", "m").alias("m"))
+        near = salted_join(both, least, "u", sizes, how="inner", spread=["v"])
+        large = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        near = salted_join(large, least.select("u", "m"), "u", least.select("u", "n"), how="inner", spread=["v"])
+        small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        discard(before)
 
 
 def numbered(rows: DataFrame, within: str, order: Sequence[Column], name: str) -> DataFrame:
