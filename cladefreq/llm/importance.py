@@ -1,6 +1,7 @@
 """Target-distribution importance resampling: hashed word windows, gains of a target over the corpus, and a drawn sample.
 
-An untrained regex Split of the tokenizers library takes the words of ASCII-lowered whole texts, with their offsets. Runs of
+An untrained regex Split of the tokenizers library takes the words of ASCII-lowered whole texts, with their offsets; it is
+asked once for each distinct piece between spaces, as no word reaches over one. Runs of
 1 to `ngram` consecutive words, joined by one space, are the features; a feature falls in the bucket of its CRC-32, which is
 carried on from a window to the next longer one, a byte of all windows at a time. Each document's buckets are stored once.
 Counting them gives the corpus histogram, and with the target's the gain of each bucket (a table of fixed length, which
@@ -32,6 +33,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GROUP_CHARS = 1 << 21
 #: Bytes of a word that are hashed together with those of other words; longer words are hashed by themselves.
 SHORT = 64
+#: Distinct pieces whose words are kept per worker; beyond it the table starts anew, which costs time, never results.
+KEPT = 400_000
 #: Reversed polynomial of CRC-32.
 POLYNOMIAL = 0xEDB88320
 ALL_ONES = np.uint32(0xFFFFFFFF)
@@ -72,18 +75,63 @@ def extend(states: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.n
     return out
 
 
+class Splitter:
+    """Words of texts with their offsets. No word has a space or line feed in it, so what stands between those is split by
+    itself; it repeats, and the library sees each distinct piece once per worker."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, tuple[int, ...]] = {}
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        raw = b"\n".join(pieces)
+        found = np.array([o for _, o in _splitter().pre_tokenize_str(raw.decode())], np.int64).reshape(-1, 2)
+        data = np.frombuffer(raw, np.uint8)
+        # Offsets count characters; a character begins where a byte isn't a continuation.
+        begins = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        edges = np.cumsum([len(x) + 1 for x in pieces])
+        spans = begins[found]
+        of = np.searchsorted(edges, spans[:, 0], side="right")
+        own = (spans - (edges[of] - [len(pieces[k]) + 1 for k in of.tolist()])[:, None]).ravel().tolist()
+        ends = np.cumsum(np.bincount(of, minlength=len(pieces)) * 2).tolist()
+        for piece, x, y in zip(pieces, [0, *ends], ends, strict=False):
+            self.known[piece] = tuple(own[x:y])
+
+    def __call__(self, data: bytes) -> np.ndarray:
+        """Begin and end of each word among the bytes, which have spaces where they had line feeds."""
+        pieces = data.split(b" ")
+        distinct = list(set(pieces))
+        missing = [x for x in distinct if x not in self.known]
+        if len(self.known) + len(missing) > KEPT:
+            self.known.clear()
+            missing = distinct
+        if missing:
+            self._learn(missing)
+        at = {x: i for i, x in enumerate(distinct)}
+        which = np.fromiter(map(at.__getitem__, pieces), np.int64, len(pieces))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        spans = [self.known[x] for x in distinct]
+        lengths = np.fromiter(map(len, spans), np.int64, len(spans)) // 2
+        flat = np.fromiter((o for x in spans for o in x), np.int64, int(lengths.sum()) * 2).reshape(-1, 2)
+        first = np.cumsum(lengths) - lengths
+        n = lengths[which]
+        shift = np.cumsum(n) - n
+        inside = np.arange(int(n.sum())) - np.repeat(shift, n)
+        return flat[np.repeat(first[which], n) + inside] + np.repeat(starts, n)[:, None]
+
+
+@lru_cache(1)
+def splitter() -> Splitter:
+    return Splitter()
+
+
 def features(texts: list[str], buckets: int, ngram: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Words per text; and per window length the text of each window and its bucket."""
     lowered = [t.encode().lower() for t in texts]
-    # A line feed is no part of a word, so no word spans two texts.
-    raw = b"\n".join(lowered)
-    joined = raw.decode()
-    spans = [o for _, o in _splitter().pre_tokenize_str(joined)]
-    offsets = np.array(spans, np.int64).reshape(-1, 2)
+    raw = b" ".join(lowered).replace(b"\n", b" ")
     data = np.frombuffer(raw, np.uint8)
-    # Offsets count characters; a character begins where a byte isn't a continuation.
-    begins = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-    starts, ends = begins[offsets[:, 0]], begins[offsets[:, 1]]
+    offsets = splitter()(raw)
+    starts, ends = offsets[:, 0], offsets[:, 1]
     edges = np.cumsum([len(t) + 1 for t in lowered])
     of = np.searchsorted(edges, starts, side="right")
     counts = np.bincount(of, minlength=len(texts))
