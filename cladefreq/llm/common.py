@@ -8,9 +8,10 @@ import zipfile
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladefreq.operators import ranks
 from cladefreq.operators.joins import salted_join
 
 
@@ -84,27 +85,6 @@ def connected(links: DataFrame, name: str = "components") -> DataFrame:
         discard(before)
 
 
-def numbered(rows: DataFrame, within: str, order: Sequence[Column], name: str) -> DataFrame:
-    """`rows`, stored, with `pos` (from 0, in the given order) and `n` (rows) within each value of `within`.
-
-    Rows are dealt by ranges of (within, order) and each range counts its own, so neither a frequent value nor a long
-    tie is one task's work: rows equal in all of `order` are told apart by their place in the input. What is summed up
-    over the ranges has a row per range and value in it. `within` may be null.
-    """
-    tie = rows.withColumn("_tie", F.monotonically_increasing_id())
-    keys = [F.col(within).asc_nulls_first(), *order, F.col("_tie")]
-    dealt = tie.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
-    placed = stored(
-        dealt.withColumns({"_part": F.spark_partition_id(), "_line": F.monotonically_increasing_id()}), name
-    )
-    runs = placed.groupBy(F.col(within).alias("_within"), F.col("_part").alias("_run")).agg(
-        F.count("*").alias("_n"), F.min("_line").alias("_first")
-    )
-    whole = Window.partitionBy("_within")
-    earlier = whole.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(
-        "_within", "_run", F.sum("_n").over(whole).alias("n"),
-        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
-    )
-    met = placed.join(runs, F.col(within).eqNullSafe(F.col("_within")) & (F.col("_part") == F.col("_run")))
-    return met.withColumn("pos", F.col("_line") + F.col("_shift")).drop("_part", "_line", "_within", "_run", "_shift")
+def numbered(rows: DataFrame, within: str, order: Sequence[Column]) -> DataFrame:
+    """`rows`, stored, with `pos` (from 0, in the given order) and `n` (rows) within each value of `within`."""
+    return ranks.numbered(rows, order, within)

@@ -247,7 +247,7 @@ def resample(
     draw = F.floor(F.lit(-1000.0) * F.log(-F.log((h + 0.5) / 4294967296.0)))
     scored = stored(weighed(found, gain).withColumn("score", F.col("weight") + draw), "importance-scores")
     enough = scored.where(F.col("n_words") >= min_words).withColumn("all", F.lit(0))
-    placed = numbered(enough, "all", [F.desc("score"), F.col("id").asc_nulls_last()], "importance-order")
+    placed = numbered(enough, "all", [F.desc("score"), F.col("id").asc_nulls_last()])
     drawn = F.col("pos") < F.call_function("div", F.col("n") * percent, F.lit(100))
     ranked = placed.withColumn("rank", F.when(drawn, F.col("pos") + 1))
     columns = [F.col("id").alias(id_col), "n_features", "weight", "score", "rank"]

@@ -160,10 +160,10 @@ def manifest(
     # Without a null: the null group's name comes first of all.
     tree = F.coalesce(F.concat(F.lit("="), F.col(group_col).cast("string")), F.lit(""))
     rows = stored(docs.select(F.col(id_col).alias("id"), tree.alias("tree"), leaf.alias("digest"), claimed.alias("claimed")), "manifest-leaves")
-    leaves = numbered(rows, "tree", [F.col("id").asc_nulls_first(), F.col("digest")], "manifest-order")
+    leaves = numbered(rows, "tree", [F.col("id").asc_nulls_first(), F.col("digest")])
     nodes, subroots, levels = forest(leaves, "manifest")
     segments = proofs(_with_alone(nodes, leaves), levels, "manifest")
-    tops = numbered(subroots.select("tree", F.col("root").alias("digest"), F.lit("").alias("top")), "top", [F.col("tree")], "manifest-groups")
+    tops = numbered(subroots.select("tree", F.col("root").alias("digest"), F.lit("").alias("top")), "top", [F.col("tree")])
     tops = tops.select("tree", F.col("top"), "n", "pos", "digest")
     above, roots, height = forest(tops.select(F.col("top").alias("tree"), "n", "pos", "digest"), "manifest-top")
     upper = proofs(_with_alone(above, tops.select(F.col("top").alias("tree"), "n", "pos")), height, "manifest-top")

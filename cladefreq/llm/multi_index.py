@@ -185,7 +185,7 @@ def nearest_neighbours(
 
     schema = "row long, id long, dim int, v array<double>, asks boolean, cell long"
     celled = rows.select("row", "id", "dim", "v", "asks").mapInArrow(placed, schema)
-    index = stored(numbered(celled, "dim", [F.col("cell"), F.col("row")], "index-order"), "index-cells")
+    index = stored(numbered(celled, "dim", [F.col("cell"), F.col("row")]), "index-cells")
     # A count for each of a bounded number of cells: those of the sampled lengths.
     known = F.col("dim").isin(list(indexes)) if indexes else F.lit(False)
     counts = {d: np.zeros(len(own.left) * len(own.right), np.int64) for d, own in indexes.items()}
@@ -206,7 +206,7 @@ def nearest_neighbours(
             yield pa.RecordBatch.from_arrays(columns, ["row", "id", "dim", "v", "block", "cells"])
 
     asked = index.where("asks").select("row", "id", "dim", "v", "cell")
-    asked = numbered(asked, "dim", [F.col("cell"), F.col("row")], "index-queries")
+    asked = numbered(asked, "dim", [F.col("cell"), F.col("row")])
     block = F.call_function("div", F.col("pos"), F.lit(BLOCK)).alias("block")
     plan = stored(
         asked.select("row", "id", "dim", "v", block).mapInArrow(planned, "row long, id long, dim int, v array<double>, block long, cells array<long>"),

@@ -148,7 +148,7 @@ def _between_classes(members: DataFrame, roots: DataFrame, bodies: DataFrame, th
     counts = known.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
     mixed = counts.where("low < high").select("key")
     known = salted_join(known, mixed, "key", counts.select("key", "n"), how="inner", spread=["rep"])
-    placed = numbered(known, "key", [F.col("root"), F.col("rep")], "near-mixed")
+    placed = numbered(known, "key", [F.col("root"), F.col("rep")])
     # Tiles that hold one class only are an interval for each class; they don't meet each other.
     classed = placed.withColumn("of", F.xxhash64("key", "root"))
     spans = classed.groupBy("of", "root").agg(
