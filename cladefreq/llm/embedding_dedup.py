@@ -8,7 +8,8 @@ by the cosine of the vectors as given, in double precision. A meeting returns ea
 in the meeting's own links, never the pairs, so its output is as small as its input.
 
 Vectors that are null, zero or hold null or non-finite components, and rows whose label is null, link with nothing.
-Lengths differ: no link. Repeated ids are vectors of their own. Other columns are ignored.
+Lengths differ: no link. Repeated ids are vectors of their own. An empty table gives no rows. Equal vectors are told by two
+64-bit hashes of label and components, which are not compared again. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 
 from cladefreq.llm.common import connected, stored
 from cladefreq.llm.vectors import directions, takes_part, tiles
-from cladefreq.operators.joins import hot_key_join
+from cladefreq.operators.joins import hot_key_join, salted_join
 
 TILE = 2_048
 #: Leading components whose cells order the vectors, and whose boxes choose the tiles that meet.
@@ -155,8 +156,10 @@ def near_vectors(
     degree = met.groupBy("id").agg(F.sum("links").alias("more"))
     component = connected(met.select(F.col("id").alias("a"), F.col("root").alias("b")), "near-components")
     linked = component.join(groups.select(F.col("rep").alias("id"), F.col("id").alias("vec")), "id")
-    least = linked.groupBy("root").agg(F.min("vec").alias("component_id"))
-    component = linked.join(least, "root").join(degree, "id").select(F.col("id").alias("rep"), "component_id", "more")
+    least = linked.groupBy("root").agg(F.min("vec").alias("component_id"), F.count("*").alias("n"))
+    # A component of any size is met in places in proportion to it.
+    named = salted_join(linked, least.drop("n"), "root", least.select("root", "n"), how="inner", spread=["id"])
+    component = named.join(degree, "id").select(F.col("id").alias("rep"), "component_id", "more")
     known = groups.select("group", "rep", "id", "weight").join(component, "rep", "left").select(
         "group",
         (F.col("weight") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"),

@@ -11,8 +11,8 @@ The models are fitted on a bounded sample: of each language about `per_lang` who
 characters, those of lowest hash. Every text is predicted whole.
 
 Null text, or text without a letter: `und`, score 0, rejected. Null lang: not learned from. With nothing to learn from
-every text is `und`. Equal cross-entropies: the language that sorts first. Repeated ids are predicted row by row. Extra
-columns are ignored.
+every text is `und`. Equal cross-entropies: the language that sorts first. Repeated ids are predicted row by row. An empty
+table gives no rows. Extra columns stay, except that ones called lang_pred, score or rejected are replaced.
 """
 
 from __future__ import annotations
@@ -162,7 +162,10 @@ def fit(samples: dict[str, list[str]]) -> Model | None:
     if not langs:
         return None
     held = {k: samples[k][:: max(2, min(10, len(samples[k]) // 5 or 2))] if len(samples[k]) > 1 else samples[k] for k in langs}
-    train = {k: [t for t in samples[k] if len(samples[k]) == 1 or t not in set(held[k])] or samples[k] for k in langs}
+    train = {}
+    for k in langs:
+        back = set(held[k])
+        train[k] = [t for t in samples[k] if len(samples[k]) == 1 or t not in back] or samples[k]
     counted = {k: _counts(train[k]) for k in langs}
     union = [np.unique(np.concatenate([counted[k][n][0] for k in langs])) for n in range(ORDER)]
     floor = float(np.log(1e-6))

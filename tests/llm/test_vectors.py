@@ -58,6 +58,36 @@ def test_top_products_match_all_pairs(spark):
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in found.collect()} == wanted
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    """The better of two rows with one id counts, and each is found by the other."""
+    rows = [(1, [2.0, 2.0], "a"), (1, [5.0, 5.0], "a"), (50, [1.0, 1.0], "a"), (50, [2.0, 0.0], "a"), (7, [1.0, 0.0], "a"), (8, [1.0], "a")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(3)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.top_k(frame, F.col("vec_id") % 50 == 0, k=3, scale=1.0).collect())
+    assert got == sorted([(50, 1, 1, 10), (50, 2, 1, 4), (50, 3, 50, 2), (50, 1, 1, 10), (50, 2, 1, 4), (50, 3, 7, 2)])
+
+
+def test_searches_of_nothing(spark):
+    frame = spark.createDataFrame([(1, [2.0, 2.0], "a"), (2, None, None)], "vec_id long, embedding array<double>, label string")
+    assert topk_search.top_k(frame, F.col("vec_id") % 50 == 0).count() == 0
+    assert topk_search.top_k(frame.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+    assert embedding_dedup.near_vectors(frame.where("false")).count() == 0
+    assert sorted(map(tuple, embedding_dedup.near_vectors(frame).collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+def test_a_hub_of_links(spark):
+    """Copies near one vector form a component of one root, however many they are."""
+    draw = np.random.default_rng(1)
+    hub = draw.normal(size=16)
+    rows = [(i, [float(x) for x in hub + draw.normal(size=16) * 0.15], "a") for i in range(1200)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(4)
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.93
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(frame).collect()}
+    assert all(abs(got[i][0] - (near[i].sum() - 1)) == 0 for i in range(1200))
+    assert {c for n, c in got.values() if n} == {min(i for i in range(1200) if got[i][0])}
+
+
 def test_article_without_menus_and_scripts(spark):
     article = "<p>The river runs past &eacute; old stone houses, where people sell bread  and fish every morning of the week.</p>" * 3
     html = f"<html><head><style>x</style></head><body><nav><a href='/'>Home</a></nav><article>{article}</article><footer>Imprint</footer><script>var a;</script></body></html>"
