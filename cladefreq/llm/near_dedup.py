@@ -215,8 +215,8 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
         salted_join(rows_of, shared, "key", sizes.select("key", "n"), how="inner", spread=["rep"]), "near-members"
     )
     wanted = members.select("rep").distinct().join(groups.select("rep", "digest", "sketch"), "rep")
-    # One row of each wanted text: an aggregate, so that a text of many copies leaves each task once.
-    texts = rows.join(wanted.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    # An aggregate before the join, so that a text of many copies leaves each task once.
+    texts = rows.where("digest is not null").groupBy("digest").agg(F.first("text").alias("text"))
     bodies = stored(wanted.join(texts, "digest").select("rep", "sketch", "text"), "near-bodies")
     pairs = stored(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
     links = stored(_verified(pairs, bodies.select("rep", "text"), threshold), "near-links")
