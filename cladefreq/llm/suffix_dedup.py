@@ -37,11 +37,13 @@ from pyspark.sql import types as T
 from cladefreq.llm.bagminhash import BASE, BYTE_VALUES, INVERSE, mix
 from cladefreq.llm.common import stored
 
-#: Bytes of the grams that name a window.
-GRAM = 16
+#: Bytes of the grams that name a window: longer ones are seldom shared by chance, shorter ones make fewer segments.
+GRAM = 24
 SHALLOW = 16
 #: Least bytes of text in a batch or bucket, and bytes per name and document on which their growth rests.
 BATCH_BYTES, PER_BLOB = 1 << 22, 200
+#: A bucket's share of the names of so many times fewer bytes than a batch has.
+BUCKETS_PER_BATCH = 4
 #: Bytes that are cut into segments, hashed or compared together.
 SLICE = 1 << 19
 #: Windows of a segment; a longer run of one name is cut.
@@ -49,7 +51,9 @@ SEGMENT_WINDOWS = 1 << 10
 #: Segments of a name in all documents before its windows are dealt out one by one.
 CROWDED = 1 << 16
 #: Windows sorted together, but for those of one name.
-SORTED = 1 << 20
+SORTED = 1 << 18
+#: Places of segments whose windows are looked through together.
+PLACES = 1 << 13
 NAME_BYTES = 6
 LAST = (1 << 63) - 1
 ADDED = ("n_bytes", "n_removed", "n_spans", "kept", "kept_text")
@@ -92,7 +96,11 @@ def segments(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
     gram = min(GRAM, length)
     if gram >= 8:
         words = _words(data)
-        grams = mix(words[: len(words) - (gram - 8)] * BASE + words[gram - 8 :])
+        count = len(data) - gram + 1
+        grams = np.zeros(count, np.uint64)
+        for at in sorted({*range(0, gram - 7, 8), gram - 8}):
+            grams = grams * BASE + words[at : at + count]
+        grams = mix(grams)
     else:
         grams = Hashes(data)(np.arange(len(data) - gram + 1), np.full(len(data) - gram + 1, gram))
     span, have = length - gram + 1, 1
@@ -279,10 +287,9 @@ def distinct(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, digests: n
     return np.unique(inverse, return_index=True)[1], inverse
 
 
-def _runs(body: bytes, sizes: np.ndarray, names: np.ndarray, of: np.ndarray, low: np.ndarray, length: int):
+def _runs(data: np.ndarray, sizes: np.ndarray, names: np.ndarray, of: np.ndarray, low: np.ndarray, length: int):
     """Smallest document of every window of the distinct segments among those given: per given segment its class, and per
     class its first window, number of windows, and the windows' owners. `of` and `low`: segment and document of each place."""
-    data = np.frombuffer(body, np.uint8)
     starts = np.cumsum(sizes) - sizes
     heads, classes = distinct(data, starts, sizes, _digests(data, starts, sizes))
     least = np.full(len(heads), LAST)
@@ -364,6 +371,20 @@ def _table(columns: dict[str, list], schema: str) -> pa.Table:
     return pa.table({n: pa.array(columns[n], kinds[t]) for n, t in (c.split() for c in schema.split(", "))})
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Compressed bytes of an array, behind their number."""
+    raw = values.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True), kind)
+
+
+def _joined(blobs: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.concatenate([_unpacked(b, kind) for b in blobs.to_pylist()] or [np.zeros(0, kind)])
+
+
 def _split(of: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Members of each bucket that has any, in order."""
     order = np.argsort(of, kind="stable")
@@ -442,13 +463,17 @@ def _send_parts(batch: int, own: Batch, flags: dict[int, bytes], buckets: int) -
         places = by[np.repeat(ends[at] - n - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         out["bucket"].append(k)
         out["batch"].append(batch)
-        out["sizes"].append(size.astype("<u4").tobytes())
-        out["names"].append((keys[at] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())
-        out["body"].append(_gather(own.data, starts[heads[at]], size)[0].tobytes())
-        out["of"].append(n.astype("<u4").tobytes())
-        out["low"].append(own.lows[of[places]].astype("<i8").tobytes())
-        out["row"].append(of[places].astype("<u4").tobytes())
-        out["start"].append((starts[places] - own.offsets[of[places]]).astype("<u8").tobytes())
+        columns = {
+            "sizes": size.astype("<u4"),
+            "names": (keys[at] & np.uint64(0xFFFFFFFF)).astype("<u4"),
+            "body": _gather(own.data, starts[heads[at]], size)[0],
+            "of": n.astype("<u4"),
+            "low": own.lows[of[places]].astype("<i8"),
+            "row": of[places].astype("<u4"),
+            "start": (starts[places] - own.offsets[of[places]]).astype("<u8"),
+        }
+        for name, values in columns.items():
+            out[name].append(_packed(values))
     return _table(out, PARTS)
 
 
@@ -456,19 +481,19 @@ def _answer_parts(rows: pa.Table, length: int) -> pa.Table:
     """Spans of documents, as row of the batch, begin and end, that a smaller document's windows cover."""
 
     def joined(name: str, kind: str) -> np.ndarray:
-        return np.concatenate([np.frombuffer(b, kind) for b in rows[name].to_pylist()]).astype(np.int64)
+        return _joined(rows[name], kind).astype(np.int64)
 
     sizes, names, n = joined("sizes", "<u4"), joined("names", "<u4"), joined("of", "<u4")
     low, row, start = joined("low", "<i8"), joined("row", "<u4"), joined("start", "<u8")
     of = np.repeat(np.arange(len(n)), n)
-    classes, first, windows, owner = _runs(b"".join(rows["body"].to_pylist()), sizes, names, of, low, length)
+    classes, first, windows, owner = _runs(_joined(rows["body"], "u1"), sizes, names, of, low, length)
     own = classes[of]
     # Only places whose document isn't the smallest for every window; their windows that are owned below them.
     worth = np.flatnonzero(np.minimum.reduceat(owner, first)[own] < low) if len(first) else np.zeros(0, np.int64)
-    batch_of = np.repeat(np.arange(rows.num_rows), [len(b) // 4 for b in rows["row"].to_pylist()])
+    batch_of = np.repeat(np.arange(rows.num_rows), [int.from_bytes(b[:8], "little") // 4 for b in rows["row"].to_pylist()])
     spans: list[tuple] = []
-    for a in range(0, len(worth), 1 << 16):
-        some = worth[a : a + (1 << 16)]
+    for a in range(0, len(worth), PLACES):
+        some = worth[a : a + PLACES]
         count = windows[own[some]]
         shift = np.cumsum(count) - count
         inside = np.arange(int(count.sum())) - np.repeat(shift, count)
@@ -488,19 +513,16 @@ def _answer_parts(rows: pa.Table, length: int) -> pa.Table:
     for k, at in _split(which, rows.num_rows):
         at = at[np.lexsort((a[at], row[at]))]
         out["batch"].append(batches[k])
-        out["row"].append(row[at].astype("<u4").tobytes())
-        out["a"].append(a[at].astype("<u8").tobytes())
-        out["b"].append(b[at].astype("<u8").tobytes())
+        out["row"].append(_packed(row[at].astype("<u4")))
+        out["a"].append(_packed(a[at].astype("<u8")))
+        out["b"].append(_packed(b[at].astype("<u8")))
     return _table(out, SPANS)
 
 
 def _remove(own: Batch, spans: pa.Table, columns: list[str]) -> tuple[list, list[bytes]]:
     """The batch's rows with what is left of their texts."""
 
-    def joined(name: str, kind: str) -> np.ndarray:
-        return np.concatenate([np.frombuffer(b, kind) for b in spans[name].to_pylist()] or [np.zeros(0, kind)]).astype(np.int64)
-
-    row, a, b = joined("row", "<u4"), joined("a", "<u8"), joined("b", "<u8")
+    row, a, b = (_joined(spans[name], kind).astype(np.int64) for name, kind in (("row", "<u4"), ("a", "<u8"), ("b", "<u8")))
     of = {k: at for k, at in _split(row, len(own.texts))}
     numbers, kept = [], []
     for k, raw in enumerate(own.texts):
@@ -528,7 +550,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     columns = plain.columns
     total = plain.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     size = max(BATCH_BYTES, int((PER_BLOB * total) ** 0.5))
-    buckets = max(1, -(-total // size))
+    buckets = max(1, -(-total * BUCKETS_PER_BATCH // size))
 
     def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, held, bytes_ = TaskContext.get().partitionId(), 0, [], 0
