@@ -168,15 +168,13 @@ class Bpe:
         """Ids of whole texts, each match of the pattern separately."""
         # BYTE_LEVEL states the matches of that one pattern for the characters that OTHER leaves out.
         lists = [BYTE_LEVEL.findall(t) if self.is_plain and not OTHER.search(t) else self._matches(t) for t in texts]
-        wanted = set().union(*lists)
-        missing = wanted - self.known.keys()
-        if len(self.known) + len(missing) > KEPT:
-            self.known.clear()
-            missing = wanted
-        missing = list(missing)
-        self.known.update(zip(missing, self.words([m.encode() for m in missing]), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in lists]
+        missing = list(set().union(*lists) - self.known.keys())
+        rare = dict(zip(missing, self.words([m.encode() for m in missing]), strict=True))
+        if len(self.known) < KEPT:
+            self.known.update(rare)
+            rare = {}
+        known, other = self.known, rare
+        return [b"".join([known[m] if m in known else other[m] for m in x]) for x in lists]
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for."""

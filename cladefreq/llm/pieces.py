@@ -27,8 +27,8 @@ BYTE_LEVEL = re.compile(
 )
 #: Matches of the word-level pattern, in lower case, without white space.
 WORD_LEVEL = re.compile(f"[{LETTERS}]+|{ENDINGS}|[{DIGITS}]|[^{SPACES}{LETTERS}{DIGITS}]+")
-#: Distinct matches kept per worker; beyond it the table starts anew, which costs time, never results.
-KEPT = 400_000
+#: Distinct matches kept per worker, the first ones seen, which are the frequent ones; others are encoded where they occur.
+KEPT = 250_000
 
 
 class Encoder:
@@ -58,16 +58,15 @@ class Encoder:
         plain = [not OTHER.search(t) and not any(x in t for x in self.special) for t in seen]
         whole = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
         lists = [self.split(t) if p else () for t, p in zip(seen, plain, strict=True)]
-        wanted = set().union(*lists)
-        missing = wanted - self.known.keys()
-        if len(self.known) + len(missing) > KEPT:
-            self.known.clear()
-            missing = wanted
-        missing = list(missing)
+        missing = list(set().union(*lists) - self.known.keys())
+        rare: dict[str, bytes] = {}
         for k in range(0, len(missing), 20_000):
-            self.known.update(zip(part := missing[k : k + 20_000], self._matches(part), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) if p else next(whole) for x, p in zip(lists, plain, strict=True)]
+            into = self.known if len(self.known) < KEPT else rare
+            into.update(zip(part := missing[k : k + 20_000], self._matches(part), strict=True))
+        known = self.known
+        if rare:
+            return [b"".join([known[m] if m in known else rare[m] for m in x]) if p else next(whole) for x, p in zip(lists, plain, strict=True)]
+        return [b"".join(map(known.__getitem__, x)) if p else next(whole) for x, p in zip(lists, plain, strict=True)]
 
 
 @lru_cache(2)

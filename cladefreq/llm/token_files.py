@@ -28,6 +28,7 @@ CHUNK_IDS = 1 << 18
 RANGE_ROWS, MAX_RANGES = 4_096, 20_000
 #: Characters encoded at a time; a longer text is alone.
 GROUP_CHARS = 1 << 20
+SLICE_ROWS = 512
 FILE_SCHEMA = (
     "part int, chunk int, base long, n_ids long, ids array<long>, lengths array<long>, ends array<long>, payload binary"
 )
@@ -54,7 +55,7 @@ def write_token_files(
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer, False), np.array([end_id], "<u4").tobytes()
         names = ["part", "id", "n", "coded"]
-        for batch in batches:
+        for batch in (whole.slice(k, SLICE_ROWS) for whole in batches for k in range(0, whole.num_rows, SLICE_ROWS)):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             at = 0
             while at < len(texts):
