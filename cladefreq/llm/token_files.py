@@ -1,13 +1,14 @@
 """Token-ID / binary output: ids of whole texts, Simple-8b coded, in files in ascending id order.
 
 Texts are encoded where they are read, and their coded ids travel, not the texts. The ids alone are read first: their
-quantiles are the bounds of the files' ranges, so that a range holds about RANGE_ROWS documents. Each range is sorted and
-written as chunks of whole documents, a coded block of words per document behind an offset.
-
-The files are a Parquet dataset whose rows are chunks, so Spark's commit protocol covers lost executors and any store that
-Spark reaches will do. Null texts count as empty and still get the end id; null ids come first; equal ids are kept in
-the order of their tokens; a very long text is a chunk of its own; an empty table gives an empty dataset. Other columns
-are ignored, whatever their names.
+quantiles are the bounds of ranges that hold about RANGE_ROWS documents. Each range is sorted and written in a row per
+document: its ids as a Simple-8b list with block offsets, and how many ids of the range lie before it. A reader adds up
+the ranges, and decodes the lists of many documents together.
+
+The files are a Parquet dataset, so Spark's commit protocol covers lost executors and any store that Spark reaches will
+do. Null texts count as empty and still get the end id; null ids come first; equal ids are kept in the order of their
+tokens; very long texts are encoded whole; an empty table gives an empty dataset. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -22,16 +23,12 @@ from pyspark.sql import functions as F
 from cladefreq.llm import simple8b
 from cladefreq.llm.pieces import encoder
 
-#: Ids after which a chunk is closed; a longer document makes a longer chunk.
-CHUNK_IDS = 1 << 18
 #: Documents of a range, unless there would be more than MAX_RANGES.
 RANGE_ROWS, MAX_RANGES = 4_096, 20_000
-#: Characters encoded at a time; a longer text is alone.
-GROUP_CHARS = 1 << 20
+#: Characters encoded and ids decoded at a time; a longer text is alone.
+GROUP_CHARS, GROUP_IDS = 1 << 20, 1 << 18
 SLICE_ROWS = 512
-FILE_SCHEMA = (
-    "part int, chunk int, base long, n_ids long, ids array<long>, lengths array<long>, ends array<long>, payload binary"
-)
+FILE_SCHEMA = "part int, id long, base long, n long, coded binary"
 
 
 def _bounds(ids: DataFrame) -> np.ndarray:
@@ -45,10 +42,19 @@ def _bounds(ids: DataFrame) -> np.ndarray:
     return np.unique(np.array(found, np.int64))
 
 
+def _by_ids(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Stretches of documents (id, start, n, coded) with about GROUP_IDS ids together; a longer document is alone."""
+    total, a = np.cumsum(np.asarray(batch.column(2))), 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + GROUP_IDS, side="right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def write_token_files(
     docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text"
 ) -> None:
-    """Write the ids of every text, each document followed by `end_id`, as coded chunks below `folder`."""
+    """Write the ids of every text, each document followed by `end_id`, as coded lists below `folder`."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     bounds = _bounds(rows.select("id"))
 
@@ -72,37 +78,10 @@ def write_token_files(
                 yield pa.RecordBatch.from_arrays(columns, names)
                 at = to
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, base, chunk, held = None, 0, 0, []
-
-        def close() -> pa.RecordBatch:
-            nonlocal base, chunk
-            lengths = [r[1] for r in held]
-            ends = np.cumsum([len(r[2]) for r in held]).tolist()
-            row = (part, chunk, base, sum(lengths), [r[0] for r in held], lengths, ends, b"".join(r[2] for r in held))
-            base, chunk = base + sum(lengths), chunk + 1
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
-
-        pending = 0
-        for batch in batches:
-            for own, key, n, coded in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (own != part or pending >= CHUNK_IDS):
-                    yield close()
-                    pending = 0
-                if own != part:
-                    part, base, chunk = own, 0, 0
-                held.append((key, n, coded))
-                pending += n
-        if held:
-            yield close()
-
-    longs = pa.list_(pa.int64())
-    types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), longs, longs, longs, pa.binary())
-    names = [x.split()[0] for x in FILE_SCHEMA.split(", ")]
     moved = rows.mapInArrow(encoded, "part int, id long, n long, coded binary").repartition("part")
-    ordered = moved.sortWithinPartitions("part", F.col("id").asc_nulls_first(), "n", "coded")
-    ordered.mapInArrow(chunks, FILE_SCHEMA).write.parquet(folder)
+    order = Window.partitionBy("part").orderBy(F.col("id").asc_nulls_first(), "n", "coded")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved.withColumn("base", before).select("part", "id", "base", "n", "coded").write.parquet(folder)
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,30 +89,17 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     of unsigned little-endian 32-bit integers)."""
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                base, ids, lengths, ends, payload = (batch.column(j)[k] for j in range(5))
-                sizes, stops = np.asarray(lengths.values), np.asarray(ends.values)
-                values = simple8b.decode_each(payload.as_buffer(), stops).astype("<u4")
-                starts = np.cumsum(sizes) - sizes
-                offsets = np.r_[0, np.cumsum(sizes)] * 4
-                if offsets[-1] < 1 << 31:
-                    buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)]
-                    blobs = pa.Array.from_buffers(pa.binary(), len(sizes), buffers)
-                else:
-                    raw = values.tobytes()
-                    blobs = pa.array([raw[a:b] for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary())
-                columns = [ids.values, pa.array(starts + base.as_py()), pa.array(sizes), blobs]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "start", "n_tokens", "ids"])
+        for batch in (part for whole in batches for part in _by_ids(whole)):
+            sizes, coded = np.asarray(batch.column(2)), batch.column(3).to_pylist()
+            values = simple8b.decode_each(b"".join(coded), np.cumsum([len(c) for c in coded])).astype("<u4")
+            raw, ends = values.tobytes(), (np.r_[0, np.cumsum(sizes)] * 4).tolist()
+            blobs = pa.array([raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], blobs], ["id", "start", "n_tokens", "ids"])
 
     files = spark.read.schema(FILE_SCHEMA).parquet(folder)
     # One row per range, of which there are MAX_RANGES at most, in this window and this broadcast.
-    totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = totals.select(
-        "part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
-    )
-    based = files.join(F.broadcast(before), "part").select(
-        (F.col("base") + F.col("before")).alias("base"), "ids", "lengths", "ends", "payload"
-    )
+    totals = files.groupBy("part").agg(F.sum("n").alias("n_part"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("part", F.coalesce(F.sum("n_part").over(earlier), F.lit(0)).alias("before"))
+    based = files.join(F.broadcast(before), "part").select("id", (F.col("base") + F.col("before")).alias("start"), "n", "coded")
     return based.mapInArrow(documents, "id long, start long, n_tokens long, ids binary")
-
