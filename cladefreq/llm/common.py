@@ -41,9 +41,19 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Rows and bytes that travel to Python at once, unless the session says otherwise: whole texts and blobs are long, and a
+#: batch is held outside the heap by the JVM and once more by Python.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package once per application, for drivers that only put it on their own path."""
+    """Give the executors this package once per application, for drivers that only put it on their own path; keep the
+    batches that travel to Python short."""
     context = spark.sparkContext
+    given = dict(context.getConf().getAll())
+    for name, value in ARROW.items():
+        if name not in given:
+            spark.conf.set(name, value)
     if getattr(context, "_llm_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
