@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Sequence
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +68,13 @@ def ship(spark: SparkSession) -> None:
     context._llm_shipped = True
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker serves many tasks, and what one needed isn't the next one's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def connected(links: DataFrame, name: str = "components") -> DataFrame:
     """Root (smallest id) of every id that `links` (a, b) mentions: columns id, root.
 

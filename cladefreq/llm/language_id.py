@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cladefreq.llm.common import release
+
 ORDER = 5
 DISCOUNT = 0.75
 #: Texts looked at together are cut into groups of about so many characters; a longer text is a group.
@@ -263,6 +265,7 @@ def identify(
                 k = end
             more = [pa.array([x[j] for x in out], t) for j, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names)
+        release()
 
     more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     schema = T.StructType([*rows.schema.fields, *more, T.StructField("rejected", T.BooleanType())])

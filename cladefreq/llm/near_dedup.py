@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladefreq.llm.bagminhash import bands, overlap, shingles, signatures
-from cladefreq.llm.common import connected, discard, numbered, stored
+from cladefreq.llm.common import connected, discard, numbered, release, stored
 from cladefreq.operators.joins import hot_key_join, salted_join
 
 ROWS, BANDS = 7, 28
@@ -73,6 +73,7 @@ def _signed(rows: DataFrame) -> DataFrame:
                 sketches = [m.tobytes() if h else None for m, h in zip(marks, has.tolist(), strict=True)]
                 columns = [part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        release()
 
     return rows.mapInArrow(signed, "doc long, digest binary, bands array<long>, sketch binary")
 

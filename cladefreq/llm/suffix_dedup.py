@@ -14,7 +14,7 @@ pass between batches and buckets of names:
 3. Each batch cuts its documents.
 
 What travels are blobs of numbers and bytes, ten names or more each: the sizes of batches and buckets both grow with the
-square root of the input, from 4 MB to 140 MB at 100 TB. Texts, however long, are cut and hashed half a megabyte at a time.
+square root of the input, from 4 MB to 140 MB at 100 TB. Texts, however long, are cut and hashed a quarter of a megabyte at a time.
 Batches are rows of a stored table, so a lost executor costs the tasks it ran.
 
 Segments are told apart by 64-bit hashes and compared byte by byte before two count as one; names only decide where
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cladefreq.llm.bagminhash import BASE, BYTE_VALUES, INVERSE, mix
-from cladefreq.llm.common import stored
+from cladefreq.llm.common import release, stored
 
 #: Bytes of the grams that name a window: longer ones are seldom shared by chance, shorter ones make fewer segments.
 GRAM = 24
@@ -45,15 +45,15 @@ BATCH_BYTES, PER_BLOB = 1 << 22, 200
 #: A bucket's share of the names of so many times fewer bytes than a batch has.
 BUCKETS_PER_BATCH = 4
 #: Bytes that are cut into segments, hashed or compared together.
-SLICE = 1 << 19
+SLICE = 1 << 18
 #: Windows of a segment; a longer run of one name is cut.
 SEGMENT_WINDOWS = 1 << 10
 #: Segments of a name in all documents before its windows are dealt out one by one.
 CROWDED = 1 << 16
 #: Windows sorted together, but for those of one name.
-SORTED = 1 << 18
+SORTED = 1 << 17
 #: Places of segments whose windows are looked through together.
-PLACES = 1 << 13
+PLACES = 1 << 12
 NAME_BYTES = 6
 LAST = (1 << 63) - 1
 ADDED = ("n_bytes", "n_removed", "n_spans", "kept", "kept_text")
@@ -584,13 +584,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 a = b
         if held:
             yield close()
+        release()
 
     def each(work):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for k in range(batch.num_rows):
                     own = Batch(batch.column(1)[k].as_py(), id_col, text_col, length)
-                    yield from work(batch.column(0)[k].as_py(), own).to_batches()
+                    found = work(batch.column(0)[k].as_py(), own)
+                    del own
+                    release()
+                    yield from found.to_batches()
 
         return run
 
@@ -601,10 +605,18 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     def parts(left: pa.Table, right: pa.Table) -> pa.Table:
         own = Batch(left["rows"][0].as_py(), id_col, text_col, length)
         answers = dict(zip(right["bucket"].to_pylist(), right["flags"].to_pylist(), strict=True))
-        return _send_parts(left["batch"][0].as_py(), own, answers, buckets)
+        found = _send_parts(left["batch"][0].as_py(), own, answers, buckets)
+        del own
+        release()
+        return found
+
+    def answered(rows: pa.Table) -> pa.Table:
+        found = _answer_parts(rows, length)
+        release()
+        return found
 
     asked = stored_batches.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(parts, PARTS)
-    spans = asked.groupBy("bucket").applyInArrow(lambda rows: _answer_parts(rows, length), SPANS)
+    spans = asked.groupBy("bucket").applyInArrow(answered, SPANS)
     names = [*columns, *ADDED]
     fields = [T.StructField(c, T.LongType()) for c in ADDED[:3]]
     fields += [T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())]
