@@ -32,7 +32,7 @@ from cladefreq.llm.common import release
 ORDER = 5
 DISCOUNT = 0.75
 #: Texts looked at together are cut into groups of about so many characters; a longer text is a group.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
 UNKNOWN = "und"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Code points per letter table.

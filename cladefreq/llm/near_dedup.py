@@ -34,7 +34,7 @@ SLACK = 3.5
 #: Members of a bucket that are one side of a comparison of tiles.
 TILE = 256
 #: Texts hashed or compared together have about so many characters; a longer one is alone.
-GROUP_CHARS = 1 << 21
+GROUP_CHARS = 1 << 19
 
 
 def digest(text_col: str) -> F.Column:

@@ -28,7 +28,7 @@ BYTE_LEVEL = re.compile(
 #: Matches of the word-level pattern, in lower case, without white space.
 WORD_LEVEL = re.compile(f"[{LETTERS}]+|{ENDINGS}|[{DIGITS}]|[^{SPACES}{LETTERS}{DIGITS}]+")
 #: Distinct matches kept per worker, the first ones seen, which are the frequent ones; others are encoded where they occur.
-KEPT = 700_000
+KEPT = 250_000
 
 
 class Encoder:
