@@ -366,6 +366,15 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+#: Rows that travel back from Python at once.
+ROWS_BACK = 128
+
+
+def _short(table: pa.Table) -> pa.Table:
+    """The same rows in short batches, which are held outside the heap one at a time."""
+    return pa.Table.from_batches(table.combine_chunks().to_batches(max_chunksize=ROWS_BACK), table.schema)
+
+
 def _table(columns: dict[str, list], schema: str) -> pa.Table:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     return pa.table({n: pa.array(columns[n], kinds[t]) for n, t in (c.split() for c in schema.split(", "))})
@@ -591,7 +600,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             for batch in batches:
                 for k in range(batch.num_rows):
                     own = Batch(batch.column(1)[k].as_py(), id_col, text_col, length)
-                    found = work(batch.column(0)[k].as_py(), own)
+                    found = _short(work(batch.column(0)[k].as_py(), own))
                     del own
                     release()
                     yield from found.to_batches()
@@ -608,12 +617,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         found = _send_parts(left["batch"][0].as_py(), own, answers, buckets)
         del own
         release()
-        return found
+        return _short(found)
 
     def answered(rows: pa.Table) -> pa.Table:
         found = _answer_parts(rows, length)
         release()
-        return found
+        return _short(found)
 
     asked = stored_batches.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(parts, PARTS)
     spans = asked.groupBy("bucket").applyInArrow(answered, SPANS)
@@ -625,7 +634,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         own = Batch(left["rows"][0].as_py(), id_col, text_col, length)
         done, kept = _remove(own, right, columns)
         texts = [None if t is None else k.decode("utf-8", "ignore") for t, k in zip(own.rows[text_col].to_pylist(), kept, strict=True)]
-        return pa.table([*done, pa.array(kept, pa.binary()), pa.array(texts, pa.string())], names)
+        return _short(pa.table([*done, pa.array(kept, pa.binary()), pa.array(texts, pa.string())], names))
 
     schema = T.StructType([*plain.schema.fields, *fields])
     return stored_batches.groupBy("batch").cogroup(spans.groupBy("batch")).applyInArrow(cut, schema)
