@@ -50,6 +50,10 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
+#: Lines of a text file, and so rows that the task which sorts and writes it holds, unless the sampled bounds are uneven.
+FILE_LINES = 500_000
+
+
 def write_lines(
     cells: DataFrame,
     order: Sequence[str],
@@ -63,8 +67,11 @@ def write_lines(
 ) -> None:
     """Text files as other programs leave them: CRLF, a header line in each, ``NA`` for missing, cells not quoted.
 
-    Rows lie in the files in the given order: by file name, then by line.
+    Rows lie in the files in the given order: by file name, then by line. There
+    are ``files`` of them, and more for more than ``FILE_LINES`` rows each: the
+    rows are counted first, so that no task's share grows with the table.
     """
+    files = max(files, -(-cells.count() // FILE_LINES))
     text = F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in columns])
     first_line = sep.join(header if header is not None else columns)
     dealt = cells.repartitionByRange(files, *order).sortWithinPartitions(*order)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from conftest import rows
 
 from cladefreq import presets
 from cladefreq.operators import detections, entities
 from cladefreq.operators.joins import first_per_key
+from cladefreq.plans import text_views
+from cladefreq.plans.catalog import Star, text_arrays
+from cladefreq.sources import writers
 from cladefreq.sources import (
     fingerprint,
     header_names,
@@ -166,6 +171,30 @@ def test_lines_are_written_and_read_in_order(spark, tmp_path):
     ]
 
 
+def test_files_grow_in_number_not_in_length(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "FILE_LINES", 500, raising=False)
+    path, data = tmp_path / "lines.txt", spark.range(4000).withColumnRenamed("id", "i")
+    write_lines(data.repartition(7), ["i"], str(path), columns=["i"], files=3)
+    lengths = [len(f.read_bytes().splitlines()) - 1 for f in sorted(path.glob("part-*"))]
+    assert len(lengths) == 8 and sum(lengths) == 4000 and max(lengths) <= 1000
+    read = read_text_table(spark, str(path), file_order=True).orderBy(*ORDER_COLUMNS)
+    assert [int(r["i"]) for r in read.collect()] == list(range(4000))
+    write_lines(data.limit(0), ["i"], str(tmp_path / "none.txt"), columns=["i"])
+    assert read_text_table(spark, str(tmp_path / "none.txt"), columns=["i"]).count() == 0
+
+
+def test_the_array_file_is_written_in_many_tasks(spark, tmp_path, monkeypatch):
+    events = spark.range(1, 4001).selectExpr(
+        "id AS event_id", "id % 90 AS user_id", "'view' AS event_type", "concat('n', id % 100) AS props"
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    few = rows(text_arrays(Star(spark, str(tmp_path))))
+    monkeypatch.setattr(writers, "FILE_LINES", 500, raising=False)
+    path = text_views.array_file(spark, str(tmp_path))
+    assert len([*Path(path.removeprefix("file:")).glob("part-*")]) == 9  # one header line stands among the 4,000 rows
+    assert rows(text_arrays(Star(spark, str(tmp_path)))) == few and len(few) == 24 * 40
+
+
 def test_missing_cells_of_arrays(spark, tmp_path):
     path = tmp_path / "arrays.tab"
     header = "\t".join(presets.ARRAY_COLUMNS)
