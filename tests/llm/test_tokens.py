@@ -35,6 +35,21 @@ def test_ids_are_the_library_s(name, lower):
     assert [t for t, a, b in zip(texts, found, wanted, strict=True) if a != b] == []
 
 
+def test_rare_matches_go_to_the_model_alone(monkeypatch):
+    """With few matches kept; the library's splitting of texts, several times as slow, isn't run for a match."""
+    monkeypatch.setattr(pieces, "KEPT", 50)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [t for t in random_texts(1500, 3) if not pieces.OTHER.search(t) and "<|" not in t] + ["".join(LOW), "\0\0 a\0"]
+    wanted = [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    own = pieces.Encoder(path, False)
+    own.library = None
+    own._whole = lambda _: []
+    for _ in range(2):
+        found = [np.frombuffer(b, "<u4").tolist() for k in range(0, len(texts), 100) for b in own(texts[k : k + 100])]
+        assert found == wanted
+    assert len(own.known) < 2000
+
+
 def test_bpe_is_the_library_s():
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     texts = random_texts(2000, 2)
