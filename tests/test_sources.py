@@ -11,7 +11,7 @@ from cladefreq import presets
 from cladefreq.operators import detections, entities
 from cladefreq.operators.joins import first_per_key
 from cladefreq.plans import text_views
-from cladefreq.plans.catalog import Star, text_arrays
+from cladefreq.plans.catalog import Star, text_arrays, text_evidence
 from cladefreq.sources import writers
 from cladefreq.sources import (
     fingerprint,
@@ -195,6 +195,36 @@ def test_the_array_file_is_written_in_many_tasks(spark, tmp_path, monkeypatch):
     assert rows(text_arrays(Star(spark, str(tmp_path)))) == few and len(few) == 24 * 40
 
 
+def small_star(spark, folder):
+    """Tables behind the evidence and entity files: 2,000 line items of 500 orders by 50 customers."""
+    tables = {
+        "region": "int(0) AS r_regionkey, 'ASIA' AS r_name",
+        "nation": "int(0) AS n_nationkey, 'CHINA' AS n_name, int(0) AS n_regionkey",
+        "customer": "id AS c_custkey, concat('n', id) AS c_name, int(0) AS c_nationkey, double(id) AS c_acctbal, 'X' AS c_mktsegment",
+        "part": "id AS p_partkey, concat('red ', id) AS p_name, 'B' AS p_brand, 'T' AS p_type, int(id) AS p_size",
+        "orders": "id AS o_orderkey, id % 50 AS o_custkey",
+        "lineitem": "id % 500 AS l_orderkey, id % 40 AS l_partkey, id % 30 AS l_suppkey, int(id % 4) AS l_linenumber, "
+        "double(id % 50) AS l_quantity, double(id) AS l_extendedprice, id % 5 / 100 AS l_discount, id % 4 / 100 AS l_tax",
+    }
+    sizes = {"region": 1, "nation": 1, "customer": 50, "part": 40, "orders": 500, "lineitem": 2000}
+    for name, columns in tables.items():
+        spark.sql(f"SELECT {columns} FROM range({sizes[name]})").write.parquet(f"{folder}/{name}.parquet")
+    return Star(spark, str(folder))
+
+
+@pytest.mark.parametrize("query", [text_evidence])
+def test_the_evidence_file_is_written_in_many_tasks(spark, tmp_path, monkeypatch, query):
+    star = small_star(spark, tmp_path)
+    few = rows(query(star))
+    monkeypatch.setattr(writers, "FILE_LINES", 200, raising=False)
+    written_to = []
+    evidence_file = text_views.evidence_file
+    monkeypatch.setattr(text_views, "evidence_file", lambda *a: written_to.append(evidence_file(*a)) or written_to[-1])
+    assert few and rows(query(star)) == few
+    files = [*Path(written_to[0].removeprefix("file:")).glob("part-*")]
+    assert len(files) == 10 and max(len(f.read_bytes().splitlines()) for f in files) <= 401
+
+
 def test_missing_cells_of_arrays(spark, tmp_path):
     path = tmp_path / "arrays.tab"
     header = "\t".join(presets.ARRAY_COLUMNS)
