@@ -11,7 +11,7 @@ from cladefreq import presets
 from cladefreq.operators import detections, entities
 from cladefreq.operators.joins import first_per_key
 from cladefreq.plans import text_views
-from cladefreq.plans.catalog import Star, text_arrays, text_evidence
+from cladefreq.plans.catalog import Star, text_arrays, text_columns, text_evidence
 from cladefreq.sources import writers
 from cladefreq.sources import (
     fingerprint,
@@ -212,7 +212,7 @@ def small_star(spark, folder):
     return Star(spark, str(folder))
 
 
-@pytest.mark.parametrize("query", [text_evidence])
+@pytest.mark.parametrize("query", [text_evidence, text_columns])
 def test_the_evidence_file_is_written_in_many_tasks(spark, tmp_path, monkeypatch, query):
     star = small_star(spark, tmp_path)
     few = rows(query(star))
