@@ -12,10 +12,11 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cladefreq.operators import ranks
-from cladefreq.operators.joins import salted_join
+from cladefreq.operators.joins import TASK_ROWS, salted_join
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -79,7 +80,8 @@ def connected(links: DataFrame, name: str = "components") -> DataFrame:
     """Root (smallest id) of every id that `links` (a, b) mentions: columns id, root.
 
     Alternates large and small stars until the links no longer change; each round is stored, so a lost executor costs
-    one round at most. Rounds grow with the logarithm of the component size. Null ends and loops are left out.
+    one round at most. Rounds grow with the logarithm of the component size. Null ends and loops are left out. While no id
+    has more than TASK_ROWS links a round is one plan of two windows; else hot centres are spread by salted joins.
     """
     edges = stored(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name
@@ -91,18 +93,44 @@ def connected(links: DataFrame, name: str = "components") -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(
                 edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
             )
-        seen, before = tuple(found), edges
+        seen, before = tuple(found), [edges]
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # A centre with many neighbours is spread over places in proportion to their number.
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        sizes, least = least.select("u", "n"), least.select("u", F.least("u", "m").alias("m"))
-        near = salted_join(both, least, "u", sizes, how="inner", spread=["v"])
-        large = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        near = salted_join(large, least.select("u", "m"), "u", least.select("u", "n"), how="inner", spread=["v"])
-        small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), name)
-        discard(before)
+        # No id has more links than there are; only if these are many are they counted for each id.
+        if seen[0] <= TASK_ROWS or both.groupBy("u").count().agg(F.max("count")).first()[0] <= TASK_ROWS:
+            edges = stored(_small_stars(_large_stars(both)), name)
+        else:
+            before.append(large := stored(_large_stars_spread(both), name))
+            edges = stored(_small_stars_spread(large), name)
+        discard(*before)
+
+
+def _large_stars(both: DataFrame) -> DataFrame:
+    """Every larger neighbour of an id now leads to the least of the id and its neighbours."""
+    near = both.withColumn("m", F.least("u", F.min("v").over(W.partitionBy("u"))))
+    return near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small_stars(large: DataFrame) -> DataFrame:
+    """An id and its neighbours, which are smaller, now lead to the least of them."""
+    near = large.withColumn("m", F.min("v").over(W.partitionBy("u")))
+    ends = F.explode(F.array("u", "v")).alias("u")
+    return near.select(ends, F.col("m").alias("v")).where("u <> v").distinct()
+
+
+def _large_stars_spread(both: DataFrame) -> DataFrame:
+    """As `_large_stars`; a centre with many neighbours is spread over places in proportion to their number."""
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    sizes, least = least.select("u", "n"), least.select("u", F.least("u", "m").alias("m"))
+    near = salted_join(both, least, "u", sizes, how="inner", spread=["v"])
+    return near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small_stars_spread(large: DataFrame) -> DataFrame:
+    """As `_small_stars`; a centre with many neighbours is spread over places in proportion to their number."""
+    least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    near = salted_join(large, least.select("u", "m"), "u", least.select("u", "n"), how="inner", spread=["v"])
+    small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return small.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def numbered(rows: DataFrame, within: str, order: Sequence[Column]) -> DataFrame:

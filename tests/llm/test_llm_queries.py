@@ -11,7 +11,7 @@ from compare import open_tables, rows_of_spark, rows_of_sql
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from cladefreq.llm import bagminhash, language_id, near_dedup, url_filters
+from cladefreq.llm import bagminhash, common, language_id, near_dedup, url_filters
 from cladefreq.llm.common import connected
 from cladefreq.llm.queries import llm_oracles, llm_queries
 
@@ -148,6 +148,37 @@ def test_components_around_a_star(spark):
     assert found == {k: 0 for k in range(3000)} | {5000: 5000, 5001: 5000, 5002: 5000}
 
 
+@pytest.mark.parametrize("task_rows", [1_000_000, 2900, 1])
+def test_rounds_of_components_are_short_plans(spark, monkeypatch, task_rows):
+    """The driver holds a round's plan for each of its stages: windows alone, unless an id has too many links for a task."""
+    draw = np.random.default_rng(5)
+    pairs = [(0, k) for k in range(1, 3000)] + [(k, k + 1) for k in range(4000, 4200)]
+    pairs += [tuple(map(int, x)) for x in draw.integers(10_000, 13_000, (1500, 2))]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    wanted = {}
+    for k in sorted(k for k in near if set(near[k]) != {k}):
+        reach = [] if k in wanted else [k]
+        while reach:
+            if (x := reach.pop()) not in wanted:
+                wanted[x] = k
+                reach += near[x]
+    plans, stored = [], common.stored
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(common, "stored", kept)
+    monkeypatch.setattr(common, "TASK_ROWS", task_rows, raising=False)
+    links = spark.createDataFrame([*pairs, (7, None), (9000, 9000)], "a long, b long")
+    assert {r.id: r.root for r in connected(links).collect()} == wanted
+    assert len(plans) > 3 and ("Join" in "".join(plans)) == (task_rows < 3000)
+    assert max(len(p.splitlines()) for p in plans) < (30 if task_rows > 3000 else 150)
+
+
 def test_bands_find_what_overlaps():
     """Recall of the bands at an overlap of about 0.8, over random pairs."""
     draw = np.random.default_rng(8)
